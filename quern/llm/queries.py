@@ -44,3 +44,37 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@_query
+def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of sources with weights 5, 2, 1 takes from each document."""
+    from quern.llm.mixing import mix_sources
+
+    return mix_sources(_documents(spark, sf_dir))
+
+
+def _op8_oracle() -> str:
+    from quern.llm.mixing import oracle
+
+    return oracle()
+
+
+ORACLES["op8_mix"] = _op8_oracle()
+
+
+@_query
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: candidates, secrets among them, the highest score, and a digest of the text with secrets masked."""
+    from quern.llm.secrets import scan_secrets
+
+    found = scan_secrets(_documents(spark, sf_dir).select("doc_id", "text", "source"), path_col="source")
+    secret = F.filter("findings", lambda f: f["is_secret"])
+    return found.select(
+        "doc_id",
+        F.size("findings").cast("long").alias("n_candidates"),
+        F.size(secret).cast("long").alias("n_secrets"),
+        F.coalesce(F.array_max(F.transform("findings", lambda f: f["score"])), F.lit(0.0)).alias("max_score"),
+        F.transform(secret, lambda f: F.sha2(f["value"], 256)).alias("secrets_sha256"),
+        F.sha2(F.coalesce("redacted", F.lit("")), 256).alias("redacted_sha256"),
+    )
