@@ -68,7 +68,7 @@ class SegmentTree:
 
 
 class _Words(dict):
-    """Word -> (ids as int32 bytes); fills itself, and drops the older generation when full."""
+    """Stretch -> (ids as int32 bytes, decoded text); fills itself, and drops the older generation when full."""
 
     def __init__(self, codec: BpeCodec):
         super().__init__()
@@ -77,19 +77,15 @@ class _Words(dict):
     def __missing__(self, word: str) -> tuple[bytes, str]:
         found = self.codec.reserved.get(word) or self.old.get(word)
         if found is None:
-            ids = self.codec.encode_piece(word)
-            found = (np.array(ids, dtype="<i4").tobytes(), self.codec.decode(ids))
-        self.keep(word, found)
+            ids = [i for w in self.codec.words.findall(word) for i in self.codec.encode_word(w)]
+            found = (array("i", ids).tobytes(), self.codec.decode(ids))
+        self[word] = found
         return found
 
-    def __contains__(self, word) -> bool:
-        return dict.__contains__(self, word) or word in self.old
-
-    def keep(self, word: str, found: tuple[bytes, str]) -> None:
+    def make_room(self) -> None:
         if len(self) >= CACHE_WORDS:
             self.old = dict(self)
             self.clear()
-        self[word] = found
 
 
 class BpeCodec:
@@ -112,7 +108,10 @@ class BpeCodec:
         alphabet = byte_alphabet()
         self.inner = [self.vocab.get(c) for c in alphabet]
         self.final = [self.vocab.get(c + self.suffix) for c in alphabet]
-        self.merged: dict[str, list[int]] = {}
+        if None in self.inner or None in self.final:
+            raise ValueError("the vocabulary must hold every byte, with and without the word end")
+        self.byte_symbols = np.array(self.inner, np.int64), np.array(self.final, np.int64)
+        self.merged: dict[str, tuple[bytes, str]] = {}
         keys = np.array([(a << 20) | b for a, b in self.pairs], np.int64)
         order = np.argsort(keys)
         ranks = np.array([r for r, _ in self.pairs.values()], np.int64)
@@ -120,10 +119,7 @@ class BpeCodec:
         results[ranks] = [new for _, new in self.pairs.values()]
         self.sorted_pairs = keys[order], ranks[order], results
         self.cache = _Words(self)
-        self.seed_specials()
-
-    def seed_specials(self) -> None:
-        self.reserved = {t: (np.array([i], dtype="<i4").tobytes(), t) for t, i in self.special.items()}
+        self.reserved = {t: (array("i", [i]).tobytes(), t) for t, i in self.special.items()}
 
     @classmethod
     def from_json(cls, text: str) -> BpeCodec:
@@ -167,50 +163,51 @@ class BpeCodec:
         inner = self.inner
         out = [inner[b] for b in raw[:-1]]
         out.append(self.final[raw[-1]])
-        return out if None not in out else [s for s in out if s is not None]
+        return out
 
     def encode_word(self, word: str) -> list[int]:
         """Ids of one pre-token."""
         return self.merge(self.symbols(word))
 
-    def split(self, piece: str) -> list[str]:
-        """Pre-tokens of a text without special tokens: NFC, lower case (letter by letter), then the file's pattern."""
-        text = piece.lower() if piece.isascii() else unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
-        return [text] if text.isascii() and text.isalpha() else self.words.findall(text)
-
-    def encode_piece(self, piece: str) -> list[int]:
-        return [i for w in self.split(piece) for i in (self.merged.get(w) or self.encode_word(w))]
+    @staticmethod
+    def normal(text: str) -> str:
+        """NFC, then lower case letter by letter (no final sigma)."""
+        return text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
     def learn(self, pieces: list[str]) -> None:
-        """Puts pieces that the cache lacks into it, their words merged side by side."""
+        """Puts stretches that the cache lacks into it, their words merged side by side."""
         cache = self.cache
-        lacking = [p for p in {*pieces} if p not in cache and p not in self.reserved]
-        apart = [self.split(p) for p in lacking]
+        cache.make_room()
+        lacking = [p for p in {*pieces} if p not in cache and p not in cache.old and p not in self.reserved]
+        find = self.words.findall
+        apart = [(p,) if p.isalpha() and p.isascii() else find(p) for p in lacking]
         if len(self.merged) > CACHE_WORDS:
             self.merged.clear()
         merged = self.merged
-        new = [w for w in {w for ws in apart for w in ws} if w not in merged]
-        merged.update(zip(new, self.merge_many([self.symbols(w) for w in new])))
-        token = self.token
+        new = list({w for ws in apart for w in ws}.difference(merged))
+        merged.update(zip(new, self.merge_many(new)))
         for p, ws in zip(lacking, apart):
-            ids = merged[ws[0]] if len(ws) == 1 else [i for w in ws for i in merged[w]]
-            cache.keep(p, (array("i", ids).tobytes(), " ".join([token[i] for i in ids])))
+            if len(ws) == 1:
+                cache[p] = merged[ws[0]]
+            else:
+                parts = [merged[w] for w in ws]
+                cache[p] = (b"".join([x[0] for x in parts]), " ".join([x[1] for x in parts]))
 
-    def merge_many(self, many: list[list[int]]) -> list[list[int]]:
-        """merge() of each list: one segment tree a row, all rows take their next merge together."""
-        out: list[list[int]] = [[]] * len(many)
+    def merge_many(self, words: list[str]) -> list[tuple[bytes, str]]:
+        """(ids, decoded text) of each word: one segment tree a row, all rows take their next merge together."""
+        out: list[tuple[bytes, str]] = [(b"", "")] * len(words)
         by_size: dict[int, list[int]] = {}
-        for k, symbols in enumerate(many):
-            n = len(symbols)
-            if n < 2:
-                out[k] = symbols
-            elif n > 62:
-                out[k] = self.merge(list(symbols))
-            else:
-                by_size.setdefault(1 << (n + 1).bit_length(), []).append(k)
+        raws = [w.encode() for w in words]
+        for k, raw in enumerate(raws):
+            by_size.setdefault(1 << (len(raw) + 1).bit_length() if len(raw) <= 62 else 0, []).append(k)
+        token = self.token
         for size, rows in by_size.items():
-            for k, ids in zip(rows, self._merge_rows([many[k] for k in rows], size)):
-                out[k] = ids
+            if size and len(rows) > 40:
+                found = self._merge_rows([raws[k] for k in rows], size)
+            else:
+                found = [self.encode_word(words[k]) for k in rows]
+            for k, ids in zip(rows, found):
+                out[k] = (array("i", ids).tobytes(), " ".join([token[i] for i in ids]))
         return out
 
     def _ranks(self, a: np.ndarray, b: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -220,13 +217,17 @@ class BpeCodec:
         found = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
         return np.where((keys[found] == key) & (a >= 0) & (b >= 0), (ranks[found] << 6) | at, INFINITE)
 
-    def _merge_rows(self, many: list[list[int]], size: int) -> list[list[int]]:
+    def _merge_rows(self, many: list[bytes], size: int) -> list[list[int]]:
         w = len(many)
         lengths = np.fromiter(map(len, many), np.int64, w)
         symbol = np.full((w, size), -1, np.int64)  # positions 1..n; 0 and n+1 stand for the ends
         row = np.repeat(np.arange(w), lengths)
         col = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + 1
-        symbol[row, col] = [s for symbols in many for s in symbols]
+        ends = np.cumsum(lengths) - 1
+        raw = np.frombuffer(b"".join(many), np.uint8)
+        flat = self.byte_symbols[0][raw]
+        flat[ends] = self.byte_symbols[1][raw[ends]]
+        symbol[row, col] = flat
         after = np.tile(np.arange(1, size + 1), (w, 1))
         before = np.tile(np.arange(-1, size - 1), (w, 1))
         tree = np.full((w, 2 * size), INFINITE, np.int64)
@@ -267,15 +268,16 @@ class BpeCodec:
         return [ids[a:b] for a, b in zip([0, *ends], ends)]
 
     def stretches(self, text: str) -> list[str]:
-        """The stretches between white space, with special tokens apart."""
+        """The normalised stretches between white space, with special tokens apart."""
         if self.specials is not None and "<" in text and (parts := list(self.specials.finditer(text))):
             out, at = [], 0
             for m in parts:
                 out += [*self.stretches(text[at : m.start()]), m[0]]
                 at = m.end()
             return out + self.stretches(text[at:])
+        text = self.normal(text)
         # str.split also parts at U+001C..U+001F, which the vocabulary's pattern counts as symbols
-        return text.split() if not any(c in text for c in "\x1c\x1d\x1e\x1f") else [w for w in self.apart.split(text) if w]
+        return text.split() if text.isprintable() or not any(c in text for c in "\x1c\x1d\x1e\x1f") else [w for w in self.apart.split(text) if w]
 
     def pieces(self, texts: list[str]) -> list[list[tuple[bytes, str]]]:
         """For each text, (ids as int32 bytes, decoded text) of each stretch."""
