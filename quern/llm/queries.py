@@ -78,3 +78,15 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.transform(secret, lambda f: F.sha2(f["value"], 256)).alias("secrets_sha256"),
         F.sha2(F.coalesce("redacted", F.lit("")), 256).alias("redacted_sha256"),
     )
+
+
+@_query
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language and calibrated score per document, learnt from three quarters of the documents."""
+    from quern.llm.langid import predict_language, train
+    from quern.llm.text_arrays import crc32_mod
+
+    docs = _documents(spark, sf_dir).select("doc_id", "text", "lang")
+    model = train(docs.filter(crc32_mod("doc_id", 4) != 2))
+    out = predict_language(docs.select("doc_id", "text", (crc32_mod("doc_id", 4) == 2).alias("held_out")), model)
+    return out.select("doc_id", "held_out", "lang_pred", "score")
