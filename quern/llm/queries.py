@@ -90,3 +90,11 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = train(docs.filter(crc32_mod("doc_id", 4) != 2))
     out = predict_language(docs.select("doc_id", "text", (crc32_mod("doc_id", 4) == 2).alias("held_out")), model)
     return out.select("doc_id", "held_out", "lang_pred", "score")
+
+
+@_query
+def op5_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links at cosine 0.93 and their components per vector."""
+    from quern.llm.vectors import near_vectors
+
+    return near_vectors(_embeddings(spark, sf_dir).select("vec_id", "embedding", "label"))
