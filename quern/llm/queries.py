@@ -98,3 +98,11 @@ def op5_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.vectors import near_vectors
 
     return near_vectors(_embeddings(spark, sf_dir).select("vec_id", "embedding", "label"))
+
+
+@_query
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingle-set size and component of documents linked at a Jaccard similarity of 0.85 on four words."""
+    from quern.llm.jaccard import jaccard_components
+
+    return jaccard_components(_documents(spark, sf_dir).select("doc_id", "text"), words=4, num=85, den=100)
