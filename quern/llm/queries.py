@@ -106,3 +106,20 @@ def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.jaccard import jaccard_components
 
     return jaccard_components(_documents(spark, sf_dir).select("doc_id", "text"), words=4, num=85, den=100)
+
+
+@_query
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest integer inner products of every 20th vector against all others."""
+    from quern.llm.topk import top_k
+
+    return top_k(_embeddings(spark, sf_dir).select("vec_id", "embedding"))
+
+
+ORACLES["op3_topk"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS x FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.x, c.x)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, rank::INT AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20
+"""
