@@ -123,3 +123,12 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.x, c.x)::BIGINT
 SELECT query_id, rank::INT AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20
 """
+
+
+@_query
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of repeats of 100 bytes and more that each document loses, and a digest of what is left."""
+    from quern.llm.repeats import remove_repeats
+
+    cut = remove_repeats(_documents(spark, sf_dir).select("doc_id", "text"), length=100)
+    return cut.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
