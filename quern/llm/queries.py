@@ -132,3 +132,12 @@ def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     cut = remove_repeats(_documents(spark, sf_dir).select("doc_id", "text"), length=100)
     return cut.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@_query
+def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and Pitman-Yor log10 probabilities of every document, learnt from six sevenths of them."""
+    from quern.llm.lm import score_documents
+    from quern.llm.text_arrays import crc32_mod
+
+    return score_documents(_documents(spark, sf_dir).select("doc_id", "text"), crc32_mod("doc_id", 7) == 2)
