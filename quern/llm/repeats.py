@@ -6,12 +6,14 @@ segment.  Equal windows have equal minimizers, so they meet; the rest follows fr
 
 1. Minimizers that stand in one place only cannot hold a repeat.  Those that stand in two places set bits of a
    filter of fixed size; the other segments are never shuffled.
-2. Equal segments collapse to the earliest; the later ones are removed whole.
-3. Different segments of one minimizer go, together with other minimizers' segments, into a collection of bounded
-   size, whose Burrows-Wheeler transform and common prefixes are built column by column (``bcr``).  Neighbouring
-   rows with a common prefix of ``length`` or more are equal windows; all but the earliest are removed.
-   A minimizer with more than ``hot`` different segments is dealt out again, window by window, and its equal windows
-   are matched by 128-bit content hashes, so no collection grows with a frequent passage.
+2. Equal segments collapse to the earliest, first inside each step of a task (so a frequent segment is one row a step),
+   then by minimizer; the later ones are removed whole.
+3. Different segments of one minimizer are aligned on it.  Each is trimmed to the longest stretch that it can share with
+   any other of them, and equal stretches collapse again.  What is left goes, together with other minimizers' segments,
+   into a collection of bounded size, whose Burrows-Wheeler transform and common prefixes are built column by
+   column (``bcr``).  Neighbouring rows with a common prefix of ``length`` or more are equal windows; all but the
+   earliest are removed.  A minimizer with more than ``hot`` different segments is dealt out again, window by window,
+   and its equal windows are matched by 128-bit content hashes, so no collection grows with a frequent passage.
 4. The removed stretches of a document are united and cut out.
 
 Order: smaller id first; rows that share an id are ordered by a hash of their text, and rows equal in both are
@@ -45,9 +47,9 @@ HOT = 10_000
 _LAST = (1 << 63) - 1
 
 
-def segments(raws: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, start, windows, key): runs of window starts that share a minimizer, and a hash of that k-gram."""
-    none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
+def segments(raws: list[bytes], length: int) -> tuple[np.ndarray, ...]:
+    """(text, start, windows, key, gram): runs of window starts that share a minimizer, a hash of that k-gram, and its place in the segment."""
+    none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64), np.zeros(0, np.int64))
     sizes = np.fromiter(map(len, raws), np.int64, len(raws))
     buf = np.frombuffer(b"".join(raws), np.uint8)
     if len(buf) < length:
@@ -79,7 +81,8 @@ def segments(raws: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np
     good = np.cumsum(valid)
     windows = np.append(good[begin[1:] - 1], good[-1]) - (good[begin] - 1)
     own = text[begin]
-    return own, begin - (ends - sizes)[own], windows, h[(least[begin] & np.uint64((1 << 28) - 1)).astype(np.int64)]
+    gram = (least[begin] & np.uint64((1 << 28) - 1)).astype(np.int64)
+    return own, begin - (ends - sizes)[own], windows, h[gram], gram - begin
 
 
 def _raws(part: pa.RecordBatch) -> list[bytes]:
@@ -100,58 +103,201 @@ def _keys_pass(length: int):
     return run
 
 
+def _in_filter(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    place = keys % np.uint64(FILTER_BITS)
+    return ((bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+
+
+def _filter(spark, hashes: DataFrame):
+    """Broadcast bit map of a column ``key`` of 64-bit hashes: a fixed size, whatever their number."""
+    # 2^64 is a multiple of the filter's size, so signed and unsigned remainders agree
+    placed = hashes.select(F.expr(f"pmod(key, {FILTER_BITS})").alias("place"))
+    lines = placed.select(F.expr("place div 64").alias("line"), F.expr("shiftleft(1L, cast(place % 64 AS INT))").alias("bit")).groupBy("line").agg(F.bit_or("bit").alias("bits")).toPandas()
+    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    bits[lines["line"].to_numpy(np.int64)] = lines["bits"].to_numpy(np.int64)
+    return spark.sparkContext.broadcast(bits.tobytes())
+
+
+def _place_hash(doc: np.ndarray, text: np.ndarray, start: np.ndarray) -> np.ndarray:
+    return mix(mix(doc.astype(np.uint64) + np.uint64(77)) ^ text.astype(np.uint64) ^ mix(start.astype(np.uint64)))
+
+
+def _located(part: pa.RecordBatch, length: int, bits: np.ndarray):
+    """Texts and, of the segments whose minimizers are in the filter, text, start, windows, key, gram, id and text hash."""
+    raws = _raws(part)
+    text, start, windows, key, gram = segments(raws, length)
+    some = np.flatnonzero(_in_filter(bits, key))
+    text, start, windows, key, gram = text[some], start[some], windows[some], key[some], gram[some]
+    hashes = np.zeros(len(raws), np.int64)
+    for t in np.unique(text).tolist():
+        hashes[t] = _text_hash(raws[t])
+    ids = part.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+    return raws, text, start, windows, key, gram, ids[text], hashes[text]
+
+
 def _segments_pass(length: int, sent):
-    schema = ["key", "sid", "sid2", "doc_id", "text_hash", "start", "windows", "bytes"]
+    """Earliest segments of each step (stop null), and the stretches that later equal ones take up (key null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(sent.value, np.uint8)
+        names = ["key", "sid", "doc_id", "text_hash", "start", "windows", "stop"]
         for batch in batches:
             for part in steps(batch, "text"):
-                raws = _raws(part)
-                text, start, windows, key = segments(raws, length)
-                place = key % np.uint64(FILTER_BITS)
-                asked = np.flatnonzero((bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1)
-                text, start, windows, key = text[asked], start[asked], windows[asked], key[asked]
-                pieces = [raws[t][a : a + w + length - 1] for t, a, w in zip(text.tolist(), start.tolist(), windows.tolist())]
-                flat = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, pieces)), "<i8").reshape(-1, 2)
-                owner = {t: _text_hash(raws[t]) for t in np.unique(text).tolist()}
-                ids = part.column("doc_id").to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.astype(np.int64)), pa.array(flat[:, 0]), pa.array(flat[:, 1]), pa.array(ids[text], pa.int64()), pa.array([owner[t] for t in text.tolist()], pa.int64()), pa.array(start, pa.int64()), pa.array(windows, pa.int64()), pa.array(pieces, pa.binary())], names=schema
-                )
+                raws, text, start, windows, key, _, doc, hashes = _located(part, length, bits)
+                if not len(text):
+                    continue
+                sid = np.fromiter((xxhash.xxh3_64_intdigest(raws[t][a : a + w + length - 1]) for t, a, w in zip(text.tolist(), start.tolist(), windows.tolist())), np.uint64, len(text))
+                order = np.lexsort([start, hashes, doc, sid, key])
+                again = np.zeros(len(order), bool)
+                again[1:] = (key[order[1:]] == key[order[:-1]]) & (sid[order[1:]] == sid[order[:-1]])
+                first, later = order[~again], order[again]
+                yield pa.RecordBatch.from_arrays([pa.array(key[first].astype(np.int64)), pa.array(sid[first].astype(np.int64)), pa.array(doc[first]), pa.array(hashes[first]), pa.array(start[first]), pa.array(windows[first]), pa.nulls(len(first), pa.int64())], names=names)
+                spans = _united(pd.DataFrame({"doc_id": doc[later], "text_hash": hashes[later], "start": start[later], "stop": start[later] + windows[later] + (length - 1)}))
+                n = len(spans)
+                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(spans["doc_id"]), pa.array(spans["text_hash"]), pa.array(spans["start"]), pa.nulls(n, pa.int64()), pa.array(spans["stop"])], names=names)
 
     return run
 
 
-def _collections_pass(length: int):
-    """Rows sorted by collection -> removed stretches (doc_id, text_hash, start, stop)."""
-    columns = ["doc_id", "text_hash", "start"]
+def _classes_pass(length: int, hot: int):
+    """Rows sorted by key, sid and place -> stretches of copies; places (windows set, stop null) of different segments; hot keys (only the key set)."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, kinds, held, told = None, 0, None, False  # held: a key's first segment, until another kind of it comes
+        for f in frames:
+            key, sid = f["key"].to_numpy(), f["sid"].to_numpy()
+            if not len(f):
+                continue
+            same_key = np.concatenate([[last is not None and last[0] == key[0]], key[1:] == key[:-1]])
+            same = same_key & np.concatenate([[last is not None and last[1] == sid[0]], sid[1:] == sid[:-1]])
+            fresh = f[~same]
+            copies = f[same]
+            if len(copies):
+                yield pd.DataFrame({"key": copies["key"], "doc_id": copies["doc_id"], "text_hash": copies["text_hash"], "start": copies["start"], "windows": None, "stop": copies["start"] + copies["windows"] + (length - 1)})
+            out = fresh[["key", "doc_id", "text_hash", "start", "windows"]]
+            if len(fresh):
+                k = fresh["key"].to_numpy()
+                edges = np.concatenate([[0], np.flatnonzero(k[1:] != k[:-1]) + 1, [len(k)]])
+                sizes = np.diff(edges)
+                going_on = bool(same_key[~same][0])
+                if held is not None and going_on:
+                    out = pd.concat([held, out], ignore_index=True)
+                    edges = np.concatenate([[0], edges[1:] + len(held)])
+                    sizes = np.diff(edges)
+                    kinds -= len(held)
+                alone = sizes == 1
+                if going_on and (held is None):
+                    alone[0] = False  # its earlier kinds are out already
+                counts = sizes.copy()
+                if going_on:
+                    counts[0] += kinds
+                else:
+                    told = False
+                for i in np.flatnonzero(counts > hot):
+                    if not (i == 0 and told):
+                        yield pd.DataFrame({"key": [out["key"].iloc[edges[i]]], "doc_id": None, "text_hash": None, "start": None, "windows": None, "stop": None})
+                if len(sizes) > 1:
+                    told = False
+                told = told or counts[-1] > hot
+                kinds = int(counts[-1])
+                keep = np.repeat(~alone, sizes)
+                held = None
+                if alone[-1]:
+                    held = out.iloc[-1:]
+                yield out[keep].assign(stop=None)
+            last = (key[-1], sid[-1])
+
+    return run
 
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        group, string, offset = repeated(rows["bytes"].tolist(), length)
-        doc, text, at = (rows[c].to_numpy()[string] for c in columns)
-        at = at + offset
+
+def _bytes_pass(length: int, keys, places):
+    """Bytes of the segments whose places are in the filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, chosen = np.frombuffer(keys.value, np.uint8), np.frombuffer(places.value, np.uint8)
+        for batch in batches:
+            for part in steps(batch, "text"):
+                raws, text, start, windows, key, gram, doc, hashes = _located(part, length, bits)
+                some = np.flatnonzero(_in_filter(chosen, _place_hash(doc, hashes, start)))
+                pieces = [raws[t][a : a + w + length - 1] for t, a, w in zip(text[some].tolist(), start[some].tolist(), windows[some].tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(key[some].astype(np.int64)), pa.array(doc[some]), pa.array(hashes[some]), pa.array(start[some]), pa.array(gram[some]), pa.array(pieces, pa.binary())], names=["key", "doc_id", "text_hash", "start", "gram", "bytes"])
+
+    return run
+
+
+def _shared_reach(key: np.ndarray, contexts: list[bytes], width: int) -> np.ndarray:
+    """For each row, the longest prefix of its context that another row of the same key has too."""
+    n = len(contexts)
+    wide = np.frombuffer(b"".join([k.tobytes() + c.ljust(width, b"\0") for k, c in zip(key.astype(">u8"), contexts)]), f"V{width + 8}")
+    order = np.argsort(wide.view(f"S{width + 8}"), kind="stable")
+    flat = wide.view(np.uint8).reshape(n, width + 8)[order]
+    size = np.fromiter(map(len, contexts), np.int64, n)[order]
+    differ = flat[1:] != flat[:-1]
+    common = np.where(differ.any(1), differ.argmax(1), width + 8) - 8
+    common = np.minimum(np.minimum(common, size[1:]), size[:-1])
+    best = np.zeros(n, np.int64)
+    best[1:] = np.maximum(best[1:], common)
+    best[:-1] = np.maximum(best[:-1], common)
+    out = np.empty(n, np.int64)
+    out[order] = np.maximum(best, 0)
+    return out
+
+
+def _collections_pass(length: int):
+    """Rows sorted by key, whole keys together in collections of bounded size -> removed stretches."""
+
+    def solve(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        key, gram, raw = rows["key"].to_numpy(), rows["gram"].to_numpy(), rows["bytes"].tolist()
+        doc, text, start = (rows[c].to_numpy() for c in ("doc_id", "text_hash", "start"))
+        right = _shared_reach(key, [b[g:] for b, g in zip(raw, gram.tolist())], length + 1)
+        left = _shared_reach(key, [b[:g][::-1] for b, g in zip(raw, gram.tolist())], length + 1)
+        some = np.flatnonzero(left + right >= length)
+        if not len(some):
+            return
+        begin = (gram - left)[some]
+        pieces = [raw[i][a : g + r] for i, a, g, r in zip(some.tolist(), begin.tolist(), gram[some].tolist(), right[some].tolist())]
+        doc, text, at = doc[some], text[some], start[some] + begin
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        # equal stretches: the earliest stays, the others are removed whole
+        names = np.fromiter(map(xxhash.xxh3_64_intdigest, pieces), np.uint64, len(pieces))
+        order = np.lexsort([at, text, doc, names, key[some]])
+        same = np.zeros(len(order), bool)
+        same[1:] = (names[order[1:]] == names[order[:-1]]) & (key[some][order[1:]] == key[some][order[:-1]])
+        later, first = order[same], order[~same]
+        if len(later):
+            yield pd.DataFrame({"doc_id": doc[later], "text_hash": text[later], "start": at[later], "stop": at[later] + size[later]})
+        k = key[some][first]
+        kin = np.zeros(len(first), bool)
+        kin[1:] = k[1:] == k[:-1]
+        kin[:-1] |= k[1:] == k[:-1]
+        first = first[kin]
+        if not len(first):
+            return
+        group, string, offset = repeated([pieces[i] for i in first.tolist()], length)
+        doc, text, at = doc[first][string], text[first][string], at[first][string] + offset
         order = np.lexsort([at, text, doc, group])
-        later = order[1:][group[order[1:]] == group[order[:-1]]]
-        return pd.DataFrame({"doc_id": doc[later], "text_hash": text[later], "start": at[later], "stop": at[later] + length})
+        again = order[1:][group[order[1:]] == group[order[:-1]]]
+        if len(again):
+            yield _united(pd.DataFrame({"doc_id": doc[again], "text_hash": text[again], "start": at[again], "stop": at[again] + length}))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
         size = 0
         for frame in frames:
-            # a collection takes whole minimizers until it is full
-            k = frame["key"].to_numpy()
-            edges = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), len(frame)]
-            total = np.concatenate([[0], np.cumsum(frame["bytes"].map(len).to_numpy())])
-            for a, b in zip(edges, edges[1:]):
-                part = frame.iloc[a:b]
-                if size > COLLECTION and len(part) and held and part["key"].iloc[0] != held[-1]["key"].iloc[-1]:
-                    yield _united(solve(pd.concat(held, ignore_index=True)))
-                    held, size = [], 0
-                held.append(part)
-                size += int(total[b] - total[a])
+            if not len(frame):
+                continue
+            size += int(frame["bytes"].map(len).sum())
+            held.append(frame)
+            if size > COLLECTION:
+                whole = pd.concat(held, ignore_index=True)
+                k = whole["key"].to_numpy()
+                cut = int(np.flatnonzero(k == k[-1])[0])  # the last key may go on
+                if cut:
+                    yield from solve(whole.iloc[:cut])
+                held = [whole.iloc[cut:]]
+                size = int(held[0]["bytes"].map(len).sum())
         if held:
-            yield _united(solve(pd.concat(held, ignore_index=True)))
+            yield from solve(pd.concat(held, ignore_index=True))
 
     return run
 
@@ -162,11 +308,15 @@ def _united(spans: pd.DataFrame) -> pd.DataFrame:
         return spans
     spans = spans.sort_values(["doc_id", "text_hash", "start"], kind="stable")
     doc, text, start, stop = (spans[c].to_numpy() for c in ("doc_id", "text_hash", "start", "stop"))
-    # one length for all stretches that come here, so ends are in the order of starts
-    fresh = np.concatenate([[True], (doc[1:] != doc[:-1]) | (text[1:] != text[:-1]) | (start[1:] > stop[:-1])])
+    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (text[1:] != text[:-1])])
+    # ends so far inside each document: documents are set apart by a step larger than any end
+    step = int(stop.max()) + 1
+    reach = np.maximum.accumulate(stop + np.cumsum(new) * step) - np.cumsum(new) * step
+    fresh = new.copy()
+    fresh[1:] |= start[1:] > reach[:-1]
     first = np.flatnonzero(fresh)
     last = np.append(first[1:], len(spans)) - 1
-    return pd.DataFrame({"doc_id": doc[first], "text_hash": text[first], "start": start[first], "stop": stop[last]})
+    return pd.DataFrame({"doc_id": doc[first], "text_hash": text[first], "start": start[first], "stop": reach[last]})
 
 
 def _windows_pass(length: int):
@@ -219,37 +369,35 @@ def remove_repeats(docs: DataFrame, length: int = 100, hot: int = HOT, id_col: s
     named = texts.withColumn("doc_id", F.coalesce("doc_id", F.lit(_LAST)))
 
     twice = texts.select("text").mapInArrow(_keys_pass(length), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1")
-    placed = twice.select(F.expr(f"pmod(key, {FILTER_BITS})").alias("place"))
-    lines = placed.select(F.expr("place div 64").alias("line"), F.expr("shiftleft(1L, cast(place % 64 AS INT))").alias("bit")).groupBy("line").agg(F.bit_or("bit").alias("bits")).toPandas()
-    bits = np.zeros(FILTER_BITS // 64, np.int64)
-    bits[lines["line"].to_numpy(np.int64)] = lines["bits"].to_numpy(np.int64)
-    sent = spark.sparkContext.broadcast(bits.tobytes())
-    del lines, bits
-
-    schema = "key long, sid long, sid2 long, doc_id long, text_hash long, start long, windows long, bytes binary"
-    found = materialise(named.mapInArrow(_segments_pass(length, sent), schema), "repeat-segments")
-    place = F.struct("doc_id", "text_hash", "start")
-    distinct = materialise(found.groupBy("key", "sid", "sid2").agg(F.min(place).alias("at"), F.count("*").alias("n")), "repeat-classes")
-
-    # copies of a whole segment
-    copied = found.select("sid", "sid2", "doc_id", "text_hash", "start", "windows").join(distinct.filter("n > 1").select("sid", "sid2", "at"), ["sid", "sid2"])
-    whole = copied.filter(place != F.col("at")).select("doc_id", "text_hash", "start", (F.col("start") + F.col("windows") + (length - 1)).alias("stop"))
-
-    # different segments of one minimizer
-    several = distinct.groupBy("key").agg(F.count("*").alias("kinds")).filter("kinds > 1")
-    firsts = distinct.join(several, "key").select("sid", "sid2", "kinds", "at.*")
-    apart = found.join(firsts, ["sid", "sid2", "doc_id", "text_hash", "start"]).select("key", "kinds", "doc_id", "text_hash", "start", "bytes")
-    apart = materialise(apart.dropDuplicates(["key", "doc_id", "text_hash", "start"]), "repeat-apart")
-    dealt = apart.filter(F.col("kinds") <= hot).repartition(n_parts, "key").sortWithinPartitions("key")
+    keys = _filter(spark, twice)
+    noted = materialise(named.mapInArrow(_segments_pass(length, keys), "key long, sid long, doc_id long, text_hash long, start long, windows long, stop long"), "repeat-segments")
+    sorted_ = noted.filter("key IS NOT NULL").drop("stop").repartition(n_parts, "key").sortWithinPartitions("key", "sid", "doc_id", "text_hash", "start")
+    classes = materialise(sorted_.mapInPandas(_classes_pass(length, hot), "key long, doc_id long, text_hash long, start long, windows long, stop long"), "repeat-classes")
+
+    apart = classes.filter("windows IS NOT NULL")
+    hashed = "key long"
+
+    def hash_places(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({"key": _place_hash(*(f[c].to_numpy(np.int64) for c in ("doc_id", "text_hash", "start"))).astype(np.int64)})
+
+    places = _filter(spark, apart.select("doc_id", "text_hash", "start").mapInPandas(hash_places, hashed))
+    pieces = named.mapInArrow(_bytes_pass(length, keys, places), "key long, doc_id long, text_hash long, start long, gram long, bytes binary")
+    frequent_keys = classes.filter("doc_id IS NULL").select("key").distinct().withColumn("frequent", F.lit(True))
+    pieces = materialise(pieces.join(frequent_keys, "key", "left"), "repeat-pieces")
+    dealt = pieces.filter("frequent IS NULL").drop("frequent").repartition(n_parts, "key").sortWithinPartitions("key")
     span = "doc_id long, text_hash long, start long, stop long"
-    sorted_ = dealt.select("key", "doc_id", "text_hash", "start", "bytes").mapInPandas(_collections_pass(length), span)
+    solved = dealt.mapInPandas(_collections_pass(length), span)
 
-    windows = apart.filter(F.col("kinds") > hot).select("doc_id", "text_hash", "start", "bytes").mapInPandas(_windows_pass(length), "w1 long, w2 long, doc_id long, text_hash long, start long")
+    place = F.struct("doc_id", "text_hash", "start")
+    windows = pieces.filter("frequent").select("doc_id", "text_hash", "start", "bytes").mapInPandas(_windows_pass(length), "w1 long, w2 long, doc_id long, text_hash long, start long")
     earliest = windows.groupBy("w1", "w2").agg(F.min(place).alias("at"), F.count("*").alias("n")).filter("n > 1").select("w1", "w2", "at")
     frequent = windows.join(earliest, ["w1", "w2"]).filter(place != F.col("at")).select("doc_id", "text_hash", "start", (F.col("start") + length).alias("stop"))
 
-    spans = materialise(whole.union(sorted_).union(frequent), "repeat-spans")
-    discard(apart)
+    known = [t.filter("stop IS NOT NULL").select("doc_id", "text_hash", "start", "stop") for t in (noted, classes)]
+    spans = materialise(known[0].union(known[1]).union(solved).union(frequent), "repeat-spans")
+    for spent in (noted, classes, pieces):
+        discard(spent)
     per_doc = spans.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     listed = _with_spans(texts, per_doc)
     return listed.mapInArrow(_cut_pass, "doc_id long, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary")
