@@ -8,8 +8,8 @@ under those too, so nothing is lost.)
 
 1. Texts with equal shingle sets collapse into one class.
 2. Keys held by two classes or more make the trees' blocks; everything else is dropped unseen.
-3. First the classes of a block are held against its first class: a bound on their points, then the exact sets.
-   This ties the large groups of near copies together without their pairs.
+3. First each class is held against the most central class of its blocks, the one that meets most others: a bound on
+   their points, then the exact sets.  This ties large groups of near copies together without their pairs.
 4. Blocks that still hold different components get an R-tree each, joined with itself: node pairs whose summed minima
    cannot reach the similarity are left out, pairs already connected too.  The pairs that survive are verified exactly.
 5. Connected components of all verified links.
@@ -38,9 +38,11 @@ from quern.llm.vectors import sorted_groups
 from quern.plans.shared import discard, materialise, ship_package
 
 #: Groups of a point.
-GROUPS = 32
+GROUPS = 128
 #: Classes in one tree at most; a block of more is cut into pairs of parts.
 BLOCK = 4096
+#: Rounds in which each class is held against the most central class of its blocks, before the trees.
+STAR_ROUNDS = 2
 #: Bits of the filter that says which classes have a partner: a fixed 4 MB at any size of input.
 FILTER_BITS = 1 << 25
 #: Classes each task remembers, so that copies file their keys once a task.
@@ -143,18 +145,29 @@ def _keys_pass(words: int, num: int, den: int):
 
 
 def _blocks_pass(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by (key, sig) -> (gid, sig, first) of blocks of two classes or more; equal blocks have one gid."""
-    seen: set[int] = set()
-    for group in sorted_groups(frames, ["key"]):
-        sigs = group["sig"].to_numpy()
-        sigs = sigs[np.concatenate([[True], sigs[1:] != sigs[:-1]])]
-        if len(sigs) > 1:
-            gid = int(mix(np.array([mix(sigs.astype(np.uint64)).sum(dtype=np.uint64) + np.uint64(len(sigs))]))[0].astype(np.int64))
-            if gid not in seen:
-                seen.add(gid)
-                yield pd.DataFrame({"gid": gid, "sig": sigs, "first": sigs[0]})
-                if len(seen) > SEEN:
-                    seen.clear()
+    """Rows sorted by (key, sig) -> (gid, sig) of blocks of two classes or more; equal blocks have one gid."""
+
+    def close(key: np.ndarray, sig: np.ndarray) -> pd.DataFrame:
+        fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (sig[1:] != sig[:-1])])
+        key, sig = key[fresh], sig[fresh]
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        sizes = np.diff(np.append(starts, len(key)))
+        gid = mix(np.add.reduceat(mix(sig.astype(np.uint64)), starts) + sizes.astype(np.uint64)).astype(np.int64)
+        many = np.flatnonzero(sizes > 1)
+        many = many[np.unique(gid[many], return_index=True)[1]]
+        rows = np.repeat(starts[many] - (np.cumsum(sizes[many]) - sizes[many]), sizes[many]) + np.arange(int(sizes[many].sum()))
+        return pd.DataFrame({"gid": np.repeat(gid[many], sizes[many]), "sig": sig[rows]})
+
+    key, sig = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for f in frames:
+        key, sig = np.concatenate([key, f["key"].to_numpy()]), np.concatenate([sig, f["sig"].to_numpy()])
+        if len(key) > 200_000:
+            cut = int(np.searchsorted(key, key[-1]))  # the last key may go on
+            if cut:
+                yield close(key[:cut], sig[:cut])
+                key, sig = key[cut:], sig[cut:]
+    if len(key):
+        yield close(key, sig)
 
 
 def _sets_pass(words: int, filter_):
@@ -236,7 +249,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
     classes = materialise(sized.filter("n > 0 AND doc_id IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("point").alias("point")), "jaccard-classes")
 
     keyed = texts.filter("doc_id IS NOT NULL").mapInArrow(_keys_pass(words, num, den), "key long, sig long")
-    met = keyed.repartition(n_parts, "key").sortWithinPartitions("key", "sig").mapInPandas(_blocks_pass, "gid long, sig long, first long")
+    met = keyed.repartition(n_parts, "key").sortWithinPartitions("key", "sig").mapInPandas(_blocks_pass, "gid long, sig long")
     blocks = materialise(met.distinct(), "jaccard-blocks")
 
     # exact sets of the classes that met another, found through a filter of fixed size
@@ -256,28 +269,38 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
         return materialise(pairs.join(a, "a").join(b, "b").mapInPandas(_verify_pass(num, den), "a long, b long"), name)
 
     points = classes.select("sig", "n", "point")
-    stars = blocks.filter("sig <> first").select(F.col("first").alias("a"), F.col("sig").alias("b")).distinct()
-    for side in ("a", "b"):
-        stars = stars.join(points.select(F.col("sig").alias(side), F.col("n").alias(f"n{side}"), F.col("point").alias(f"p{side}")), side)
-    near = stars.mapInPandas(_bound_pass(num, den), "a long, b long")
-    links = verified(near, "jaccard-stars")
-    tied = connected_components(links)
+    # the class in most blocks is the nearest to a group's middle
+    central = blocks.groupBy("sig").agg(F.count("*").alias("blocks"))
+    ranked = materialise(blocks.join(central, "sig"), "jaccard-ranked")
+    links = tried = None
+    known = ranked.withColumn("component", F.col("sig"))
+    for turn in range(STAR_ROUNDS):
+        middle = known.groupBy("gid").agg(F.max(F.struct("blocks", "sig", "component")).alias("middle"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("gid", "middle")
+        # one pair a class: with the most central class that it meets and is not tied to
+        offers = known.join(middle, "gid").filter(F.col("component") != F.col("middle.component")).select("sig", F.col("middle.blocks").alias("blocks"), F.col("middle.sig").alias("to"))
+        if tried is not None:
+            offers = offers.join(tried.select(F.col("a").alias("sig"), F.col("b").alias("to")), ["sig", "to"], "left_anti")
+        stars = offers.groupBy("sig").agg(F.max(F.struct("blocks", "to")).alias("best")).select(F.col("sig").alias("a"), F.col("best.to").alias("b"))
+        stars = materialise(stars, f"jaccard-stars-{turn}")
+        seen = stars
+        for side in ("a", "b"):
+            seen = seen.join(points.select(F.col("sig").alias(side), F.col("n").alias(f"n{side}"), F.col("point").alias(f"p{side}")), side)
+        more = verified(seen.mapInPandas(_bound_pass(num, den), "a long, b long"), f"jaccard-tied-{turn}")
+        links, tried = (more, stars) if links is None else (links.union(more), tried.union(stars))
+        known = materialise(ranked.join(connected_components(links).select(F.col("id").alias("sig"), "component"), "sig", "left").withColumn("component", F.coalesce("component", "sig")), f"jaccard-known-{turn}")
 
-    known = blocks.select("gid", "sig").join(tied.select(F.col("id").alias("sig"), "component"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
-    known = materialise(known, "jaccard-known")
     open_ = known.groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).filter("low <> high").select("gid", F.ceil(F.col("size") / BLOCK).cast("int").alias("parts"))
     dealt = known.join(open_, "gid").join(points, "sig").withColumn("own", F.pmod(F.xxhash64("sig"), "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.select("gid", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "sig", "component", "n", "point")
     joined = dealt.repartition(n_parts, "gid", "i", "j").sortWithinPartitions("gid", "i", "j", "sig").mapInPandas(_trees_pass(num, den), "a long, b long").distinct()
-    more = verified(joined, "jaccard-joined")
+    done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = verified(joined.join(done, ["a", "b"], "left_anti"), "jaccard-joined")
 
     reps = classes.select("sig", "rep")
     ids = links.union(more)
     for side in ("a", "b"):
         ids = ids.join(reps.select(F.col("sig").alias(side), F.col("rep").alias(f"r{side}")), side)
     parts = connected_components(ids.select("ra", "rb"), "ra", "rb")
-    for spent in (known, blocks):
-        discard(spent)
     owner = classes.select("sig", "rep").join(parts.select(F.col("id").alias("rep"), "component"), "rep", "left").select("sig", F.coalesce("component", "rep").alias("component"))
     some = sized.filter("n > 0 AND doc_id IS NOT NULL").join(owner, "sig").select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
     none = sized.filter("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
