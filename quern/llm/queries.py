@@ -141,3 +141,20 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.text_arrays import crc32_mod
 
     return score_documents(_documents(spark, sf_dir).select("doc_id", "text"), crc32_mod("doc_id", 7) == 2)
+
+
+@_query
+def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: paragraphs, those with a confirmed licence or an unknown one, and the families found."""
+    from quern.llm.licences import UNKNOWN, scan_licences
+
+    found = scan_licences(_documents(spark, sf_dir).select("doc_id", "text"))
+    known = F.filter("licences", lambda p: p["family"] != UNKNOWN)
+    return found.select(
+        "doc_id",
+        "n_paragraphs",
+        F.size(known).cast("long").alias("n_licences"),
+        (F.size("licences") - F.size(known)).cast("long").alias("n_unknown"),
+        F.array_sort(F.array_distinct(F.transform(known, lambda p: p["family"]))).alias("families"),
+        F.coalesce(F.array_max(F.transform(known, lambda p: p["probability"])), F.lit(0.0)).alias("max_probability"),
+    )
