@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from quern.llm.components import connected_components
 from quern.llm.rtree import CountRTree, may_link
 from quern.llm.shingles import mix, shingle_sets
-from quern.llm.text_arrays import steps
+from quern.llm.text_arrays import hash_filter, in_filter, steps
 from quern.llm.vectors import sorted_groups
 from quern.plans.shared import discard, materialise, ship_package
 
@@ -177,8 +177,7 @@ def _sets_pass(words: int, filter_):
             for part in steps(batch, "text"):
                 hashes, sizes = shingle_sets(_raws(part), words)
                 sigs = signatures(hashes, sizes)
-                place = sigs % np.uint64(FILTER_BITS)
-                asked = (sizes > 0) & ((bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0)
+                asked = (sizes > 0) & in_filter(bits, sigs)
                 ends = np.cumsum(sizes)
                 rows = []
                 for i in np.flatnonzero(asked):
@@ -254,13 +253,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
 
     # exact sets of the classes that met another, found through a filter of fixed size
     asked = blocks.select("sig").distinct()
-    # 2^64 is a multiple of the filter's size, so signed and unsigned remainders agree
-    placed = asked.select(F.expr(f"pmod(sig, {FILTER_BITS})").alias("place"))
-    lines = placed.select(F.expr("place div 64").alias("line"), F.expr("shiftleft(1L, cast(place % 64 AS INT))").alias("bit")).groupBy("line").agg(F.bit_or("bit").alias("bits")).collect()
-    filter_ = np.zeros(FILTER_BITS // 64, np.int64)
-    for r in lines:
-        filter_[r["line"]] = r["bits"]
-    sent = spark.sparkContext.broadcast(filter_.tobytes())
+    sent = hash_filter(asked.select(F.col("sig").alias("key")), FILTER_BITS)
     found = texts.filter("doc_id IS NOT NULL").mapInArrow(_sets_pass(words, sent), "sig long, members binary")
     sets = materialise(found.dropDuplicates(["sig"]).join(asked, "sig", "left_semi"), "jaccard-sets")
 

@@ -34,13 +34,13 @@ from pyspark.sql import functions as F
 
 from quern.llm.bcr import repeated
 from quern.llm.shingles import mix
-from quern.llm.text_arrays import steps
+from quern.llm.text_arrays import hash_filter, in_filter, steps
 from quern.plans.shared import discard, materialise, ship_package
 
 #: Bytes of a minimizer: a power of two.
 GRAM = 32
-#: Bits of the filter of repeated minimizers: a fixed 16 MB at any size of input.
-FILTER_BITS = 1 << 27
+#: Bits of the filter of repeated minimizers: a fixed 8 MB at any size of input.
+FILTER_BITS = 1 << 26
 #: Segment bytes of one collection, and segments of one minimizer beyond which it is dealt out by windows.
 COLLECTION = 3 << 20
 HOT = 10_000
@@ -103,21 +103,6 @@ def _keys_pass(length: int):
     return run
 
 
-def _in_filter(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    place = keys % np.uint64(FILTER_BITS)
-    return ((bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
-
-
-def _filter(spark, hashes: DataFrame):
-    """Broadcast bit map of a column ``key`` of 64-bit hashes: a fixed size, whatever their number."""
-    # 2^64 is a multiple of the filter's size, so signed and unsigned remainders agree
-    placed = hashes.select(F.expr(f"pmod(key, {FILTER_BITS})").alias("place"))
-    lines = placed.select(F.expr("place div 64").alias("line"), F.expr("shiftleft(1L, cast(place % 64 AS INT))").alias("bit")).groupBy("line").agg(F.bit_or("bit").alias("bits")).toPandas()
-    bits = np.zeros(FILTER_BITS // 64, np.int64)
-    bits[lines["line"].to_numpy(np.int64)] = lines["bits"].to_numpy(np.int64)
-    return spark.sparkContext.broadcast(bits.tobytes())
-
-
 def _place_hash(doc: np.ndarray, text: np.ndarray, start: np.ndarray) -> np.ndarray:
     return mix(mix(doc.astype(np.uint64) + np.uint64(77)) ^ text.astype(np.uint64) ^ mix(start.astype(np.uint64)))
 
@@ -126,7 +111,7 @@ def _located(part: pa.RecordBatch, length: int, bits: np.ndarray):
     """Texts and, of the segments whose minimizers are in the filter, text, start, windows, key, gram, id and text hash."""
     raws = _raws(part)
     text, start, windows, key, gram = segments(raws, length)
-    some = np.flatnonzero(_in_filter(bits, key))
+    some = np.flatnonzero(in_filter(bits, key))
     text, start, windows, key, gram = text[some], start[some], windows[some], key[some], gram[some]
     hashes = np.zeros(len(raws), np.int64)
     for t in np.unique(text).tolist():
@@ -218,7 +203,7 @@ def _bytes_pass(length: int, keys, places):
         for batch in batches:
             for part in steps(batch, "text"):
                 raws, text, start, windows, key, gram, doc, hashes = _located(part, length, bits)
-                some = np.flatnonzero(_in_filter(chosen, _place_hash(doc, hashes, start)))
+                some = np.flatnonzero(in_filter(chosen, _place_hash(doc, hashes, start)))
                 pieces = [raws[t][a : a + w + length - 1] for t, a, w in zip(text[some].tolist(), start[some].tolist(), windows[some].tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(key[some].astype(np.int64)), pa.array(doc[some]), pa.array(hashes[some]), pa.array(start[some]), pa.array(gram[some]), pa.array(pieces, pa.binary())], names=["key", "doc_id", "text_hash", "start", "gram", "bytes"])
 
@@ -369,7 +354,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, hot: int = HOT, id_col: s
     named = texts.withColumn("doc_id", F.coalesce("doc_id", F.lit(_LAST)))
 
     twice = texts.select("text").mapInArrow(_keys_pass(length), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1")
-    keys = _filter(spark, twice)
+    keys = hash_filter(twice, FILTER_BITS)
     noted = materialise(named.mapInArrow(_segments_pass(length, keys), "key long, sid long, doc_id long, text_hash long, start long, windows long, stop long"), "repeat-segments")
     sorted_ = noted.filter("key IS NOT NULL").drop("stop").repartition(n_parts, "key").sortWithinPartitions("key", "sid", "doc_id", "text_hash", "start")
     classes = materialise(sorted_.mapInPandas(_classes_pass(length, hot), "key long, doc_id long, text_hash long, start long, windows long, stop long"), "repeat-classes")
@@ -381,7 +366,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, hot: int = HOT, id_col: s
         for f in frames:
             yield pd.DataFrame({"key": _place_hash(*(f[c].to_numpy(np.int64) for c in ("doc_id", "text_hash", "start"))).astype(np.int64)})
 
-    places = _filter(spark, apart.select("doc_id", "text_hash", "start").mapInPandas(hash_places, hashed))
+    places = hash_filter(apart.select("doc_id", "text_hash", "start").mapInPandas(hash_places, hashed), FILTER_BITS)
     pieces = named.mapInArrow(_bytes_pass(length, keys, places), "key long, doc_id long, text_hash long, start long, gram long, bytes binary")
     frequent_keys = classes.filter("doc_id IS NULL").select("key").distinct().withColumn("frequent", F.lit(True))
     pieces = materialise(pieces.join(frequent_keys, "key", "left"), "repeat-pieces")

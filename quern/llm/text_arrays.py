@@ -29,3 +29,41 @@ def crc32_mod(id_col, modulus: int):
     from pyspark.sql import functions as F
 
     return F.crc32(F.encode(F.coalesce(F.col(id_col).cast("string"), F.lit("")), "UTF-8")) % modulus
+
+
+#: Stretches of a filter; each comes to the driver as one value.
+STRETCHES = 64
+
+
+def hash_filter(hashes, bits: int):
+    """Broadcast bit map of the 64-bit hashes in column ``key``: bits / 8 bytes, whatever their number.
+
+    ``bits`` is a power of two, so signed and unsigned remainders agree.
+    """
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    span = bits // STRETCHES
+
+    def fill(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        maps: dict[int, np.ndarray] = {}
+        for f in frames:
+            place = f["place"].to_numpy()
+            for s in np.unique(place // span).tolist():
+                own = place[place // span == s] % span
+                np.bitwise_or.at(maps.setdefault(s, np.zeros(span // 8, np.uint8)), own >> 3, (1 << (own & 7)).astype(np.uint8))
+        if maps:
+            yield pd.DataFrame({"stretch": list(maps), "bits": [m.tobytes() for m in maps.values()]})
+
+    placed = hashes.select(F.expr(f"pmod(key, {bits})").alias("place"))
+    made = placed.repartition(STRETCHES, F.expr(f"place div {span}")).mapInPandas(fill, "stretch long, bits binary")
+    whole = bytearray(bits // 8)
+    for r in made.toLocalIterator():
+        whole[r["stretch"] * (span // 8) : (r["stretch"] + 1) * (span // 8)] = r["bits"]
+    return hashes.sparkSession.sparkContext.broadcast(bytes(whole))
+
+
+def in_filter(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which uint64 keys may be among those that made the filter."""
+    place = keys % np.uint64(8 * len(bits))
+    return ((bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
