@@ -1 +1 @@
-"""functions of quern."""
+"""Column functions: tokens, terms, sentences and small array statistics."""

@@ -1 +1 @@
-"""operators of quern."""
+"""Chunking, ranking, budgets, span scores, resampling, judge and calibration operators."""
