@@ -1,0 +1,219 @@
+"""Judge queries.  Pairs are labelled documents of one language; read-outs are whole-number arithmetic on their ids (declared synthetic)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quern.operators import calibration as K
+from quern.operators import judge as J
+from quern.operators import regression as G
+from quern.operators import resampling as S
+from quern.plans.catalog import query
+
+
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """item_id, category, subset, prompt, chosen, rejected, c, r (the two ids)."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source").join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id")
+    docs = docs.withColumn("n", F.row_number().over(Window.partitionBy("lang", "quality").orderBy("doc_id")))
+    good = docs.filter("quality = 1").select("lang", "n", F.col("doc_id").alias("c"), F.col("text").alias("chosen"), F.col("source").alias("subset"))
+    bad = docs.filter("quality = 0").select("lang", "n", F.col("doc_id").alias("r"), F.col("text").alias("rejected"))
+    rows = good.join(bad, ["lang", "n"])
+    return rows.select(F.concat_ws("/", "lang", F.col("n").cast("string")).alias("item_id"), F.col("lang").alias("category"), "subset", F.concat(F.lit("Write about {"), F.col("lang"), F.lit("}.")).alias("prompt"), "chosen", "rejected", "c", "r")
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = items(spark, sf_dir).withColumn("order", F.explode(F.array(*[F.lit(o) for o in J.ORDERS])))
+    straight = F.col("order") == J.ORDERS[0]
+    z = F.when(straight, ((F.col("c") * 37 + F.col("r") * 11) % 201 - 80) / 20.0).otherwise(((F.col("c") * 53 + F.col("r") * 29) % 201 - 90) / 20.0)
+    mass = F.when(straight, (F.col("c") * 13 + F.col("r") * 7) % 101).otherwise((F.col("c") * 17 + F.col("r") * 5) % 101) / 100.0
+    return rows.select(F.lit("synthetic").alias("model"), F.lit("minimal").alias("rubric"), "order", "item_id", z.alias("z"), mass.alias("mass_ab"), ((F.col("c") + F.col("r")) % 5 != 0).alias("compliant"))
+
+
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return J.swap_pairs(records(spark, sf_dir)).join(items(spark, sf_dir), "item_id")
+
+
+ITEMS = """it0 AS (SELECT d.doc_id, text, lang, source, quality, row_number() OVER (PARTITION BY lang, quality ORDER BY d.doc_id) AS n FROM documents d JOIN labels USING (doc_id)),
+it AS (SELECT g.lang || '/' || g.n AS item_id, g.lang AS category, g.source AS subset, 'Write about {' || g.lang || '}.' AS prompt, g.text AS chosen, b.text AS rejected, g.doc_id AS c, b.doc_id AS r FROM it0 g JOIN it0 b ON g.lang = b.lang AND g.n = b.n AND g.quality = 1 AND b.quality = 0)"""
+PAIRS = f"""WITH {ITEMS}, pz AS (SELECT it.*, ((c * 37 + r * 11) % 201 - 80) / 20.0::DOUBLE AS z_cf, ((c * 53 + r * 29) % 201 - 90) / 20.0::DOUBLE AS z_rf, least((c * 13 + r * 7) % 101, (c * 17 + r * 5) % 101) / 100.0::DOUBLE AS mass_min, (c + r) % 5 <> 0 AS compliant_both FROM it),
+pa AS (SELECT *, (z_cf - z_rf) / 2 AS s, (z_cf + z_rf) / 2 AS b, CASE WHEN z_cf >= 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS raw_cf, CASE WHEN z_rf < 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS raw_rf, CASE WHEN z_cf > z_rf THEN 1.0 WHEN z_cf < z_rf THEN 0.0 ELSE 0.5 END::DOUBLE AS sym, (z_cf >= 0) = (z_rf >= 0) AS flip FROM pz)"""
+_R6 = lambda name, sql: f"round({sql}, 6) AS {name}"
+_SHARE = lambda c: f"avg(CASE WHEN {c} THEN 1.0 ELSE 0.0 END)"
+_STATS = ", ".join([_R6("sym_acc", "avg(sym)"), _R6("raw_acc", "avg((raw_cf + raw_rf) / 2)"), _R6("flip_rate", _SHARE("flip")), _R6("b_median", "quantile_cont(b, 0.5)"), _R6("b_median_abs", "quantile_cont(abs(b), 0.5)"), _R6("s_median_abs", "quantile_cont(abs(s), 0.5)"), _R6("bias_dominates", _SHARE("abs(b) > abs(s)")), _R6("mass_p50", "quantile_cont(mass_min, 0.5)")])
+
+
+def rounded(df: DataFrame, places: int = 6) -> DataFrame:
+    return df.select(*[F.round(c, places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+def _prompt_sql() -> str:
+    a, b = "CASE WHEN o = 'chosen_first' THEN chosen ELSE rejected END", "CASE WHEN o = 'chosen_first' THEN rejected ELSE chosen END"
+    body = " || ".join([_quoted(J.PARTS[0]), "prompt", _quoted(J.PARTS[1]), a, _quoted(J.PARTS[2]), b, _quoted(J.PARTS[3] + J.RUBRICS["minimal"]["closing"])])
+    x = J.CHAT["chatml"]
+    return f"""WITH {ITEMS}, p AS (SELECT item_id, o AS "order", CASE WHEN o = 'chosen_first' THEN 'A' ELSE 'B' END AS expected_verdict, {body} AS u FROM it, (SELECT unnest(['chosen_first', 'rejected_first']) AS o))
+SELECT item_id, "order", expected_verdict, length(u)::INT AS user_chars, md5({_quoted(x[0])} || {_quoted(J.RUBRICS['minimal']['system'])} || {_quoted(x[1])} || u || {_quoted(x[2])}) AS rendered_md5 FROM p"""
+
+
+@query(_prompt_sql())
+def judge_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = J.prompts(items(spark, sf_dir), "minimal", "chatml")
+    return made.select("item_id", "order", "expected_verdict", F.length("user").alias("user_chars"), F.md5("rendered").alias("rendered_md5"))
+
+
+@query(f"""WITH {ITEMS}, l AS (SELECT item_id, list_transform(range(16), lambda j: ((c * (j + 3) + r * (2 * j + 1)) % 97) / 10.0::DOUBLE - 4) AS x FROM it),
+m AS (SELECT item_id, x, list_max(x) + ln(list_sum(list_transform(x, lambda v: exp(v - list_max(x))))) AS norm, list_position(x, list_max(x)) - 1 AS top FROM l)
+SELECT item_id, round(x[4] - x[6], 6) AS z, round(x[4] - norm, 6) AS logp_a, round(x[6] - norm, 6) AS logp_b, round(exp(x[4] - norm) + exp(x[6] - norm), 6) AS mass_ab, top IN (3, 5) AS compliant FROM m""")
+def logit_readout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = items(spark, sf_dir)
+    rows = rows.withColumn("logits", F.transform(F.sequence(F.lit(0), F.lit(15)), lambda j: ((F.col("c") * (j + 3) + F.col("r") * (2 * j + 1)) % 97) / 10.0 - 4))
+    top = F.array_position("logits", F.array_max("logits")) - 1
+    rows = rows.withColumn("argmax_token", F.when(top == 3, " A").when(top == 5, "B ").otherwise("the"))
+    return rounded(J.read_logits(rows).select("item_id", "z", "logp_a", "logp_b", "mass_ab", "compliant"))
+
+
+@query(f"{PAIRS} SELECT item_id, z_cf, z_rf, s, b, raw_cf, raw_rf, sym, flip, compliant_both, mass_min FROM pa")
+def swap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return J.swap_pairs(records(spark, sf_dir)).select("item_id", "z_cf", "z_rf", "s", "b", "raw_cf", "raw_rf", "sym", "flip", "compliant_both", "mass_min")
+
+
+@query(f"""{PAIRS} SELECT category, count(*) AS n_items, {_R6('compliance_rate', _SHARE('compliant_both'))}, {_R6('mass_p50', 'quantile_cont(mass_min, 0.5)')}, {_R6('raw_acc', 'avg((raw_cf + raw_rf) / 2)')}, {_R6('raw_cf', 'avg(raw_cf)')}, {_R6('raw_rf', 'avg(raw_rf)')},
+{_R6('sym_acc', 'avg(sym)')}, {_R6('sym_minus_raw', 'avg(sym - (raw_cf + raw_rf) / 2)')}, {_R6('flip_rate', _SHARE('flip'))}, {_R6('b_mean', 'avg(b)')}, {_R6('b_median', 'quantile_cont(b, 0.5)')}, {_R6('b_sd', 'stddev_samp(b)')}, {_R6('b_q25', 'quantile_cont(b, 0.25)')}, {_R6('b_q75', 'quantile_cont(b, 0.75)')},
+{_R6('b_positive', _SHARE('b > 0'))}, {_R6('s_mean', 'avg(s)')}, {_R6('s_median_abs', 'quantile_cont(abs(s), 0.5)')}, {_R6('s_sd', 'stddev_samp(s)')}, {_R6('bias_dominates', _SHARE('abs(b) > abs(s)'))} FROM pa GROUP BY category""")
+def pair_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(J.summary(pairs(spark, sf_dir), "category"))
+
+
+@query(f"{PAIRS} SELECT stratum, count(*) AS n_items, {_STATS} FROM (SELECT *, 'all' AS stratum FROM pa UNION ALL SELECT *, CASE WHEN compliant_both THEN 'compliant_both' ELSE 'non_compliant' END FROM pa) GROUP BY stratum")
+def compliance_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(J.compliance_strata(J.swap_pairs(records(spark, sf_dir))))
+
+
+@query(f"""{PAIRS}, bi AS (SELECT * FROM (VALUES (0, 0.0::DOUBLE, 0.25::DOUBLE), (1, 0.25, 0.5), (2, 0.5, 0.75), (3, 0.75, 0.9), (4, 0.9, 1e300)) AS t(bin, lo, hi))
+SELECT bin::INT AS bin, any_value(lo) AS lo, count(item_id) AS n_items, {_STATS} FROM bi LEFT JOIN pa ON mass_min >= lo AND mass_min < hi GROUP BY bin""")
+def compliance_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(J.mass_bins(J.swap_pairs(records(spark, sf_dir))))
+
+
+@query(f"""WITH {ITEMS}, w AS (SELECT *, len(regexp_extract_all(chosen, '[^\\s\\p{{Z}}\\x0b\\x1c-\\x1f\\x85]+')) AS wc, len(regexp_extract_all(rejected, '[^\\s\\p{{Z}}\\x0b\\x1c-\\x1f\\x85]+')) AS wr FROM it)
+SELECT category, count(*) AS n_items, 0.5::DOUBLE AS always_a, round(avg(CASE WHEN length(chosen) > length(rejected) THEN 1.0 WHEN length(chosen) < length(rejected) THEN 0.0 ELSE 0.5 END), 6) AS longer_chars, round(avg(CASE WHEN wc > wr THEN 1.0 WHEN wc < wr THEN 0.0 ELSE 0.5 END), 6) AS longer_words, 0.5::DOUBLE AS random FROM w GROUP BY category""")
+def floors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(J.floors(items(spark, sf_dir), "category"))
+
+
+_BINS = f"""{PAIRS}, cf AS (SELECT 1 / (1 + exp(-abs(s))) AS conf, sym AS correct FROM pa),
+so AS (SELECT list_sort(list(conf)) AS l, count(*) AS n FROM cf),
+ed AS (SELECT DISTINCT len(list_filter(l, lambda x: x <= l[greatest(1, CASE WHEN i = 10 THEN n ELSE round_even(i * n / 10, 0) END)::INT])) AS e FROM so, (SELECT unnest(range(1, 11)) AS i)),
+rn AS (SELECT conf, correct, (SELECT count(*) FROM cf c2 WHERE c2.conf <= c1.conf) AS upto FROM cf c1),
+bn AS (SELECT conf, correct, (SELECT count(*) FROM ed WHERE e < upto)::INT AS bin FROM rn)"""
+
+
+@query(f"{_BINS} SELECT bin, count(*) AS n, round(avg(conf), 6) AS conf, round(avg(correct), 6) AS acc FROM bn GROUP BY bin")
+def reliability_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(K.reliability_curve(K.fold(J.swap_pairs(records(spark, sf_dir)))))
+
+
+@query(f"{_BINS}, cu AS (SELECT bin, count(*) AS n, avg(conf) AS conf, avg(correct) AS acc FROM bn GROUP BY bin) SELECT sum(n)::BIGINT AS n_points, round(sum(n * abs(acc - conf)) / sum(n), 6) AS ece FROM cu")
+def ece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(K.ece(K.fold(J.swap_pairs(records(spark, sf_dir)))))
+
+
+_LOO = f"""{PAIRS}, lo AS (SELECT item_id, category, z_cf, z_rf, b, (sum(b) OVER () - b) / (count(*) OVER () - 1) AS global_,
+coalesce((sum(b) OVER c1 - b) / nullif(count(*) OVER c1 - 1, 0), (sum(b) OVER () - b) / (count(*) OVER () - 1)) AS category_,
+coalesce((sum(b) OVER c2 - b) / nullif(count(*) OVER c2 - 1, 0), (sum(b) OVER () - b) / (count(*) OVER () - 1)) AS subset_ FROM pa WINDOW c1 AS (PARTITION BY category), c2 AS (PARTITION BY subset)),
+es AS (SELECT item_id, category, z_cf, z_rf, unnest(['none', 'global', 'category', 'subset', 'oracle']) AS estimator, unnest([0.0::DOUBLE, global_, category_, subset_, b]) AS b_hat FROM lo)"""
+
+
+@query(f"{_LOO} SELECT item_id, estimator, round(b_hat, 6) AS b_hat FROM es")
+def loo_group_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(G.loo_estimates(pairs(spark, sf_dir)).select("item_id", "estimator", "b_hat"))
+
+
+@query(f"""{_LOO}, cr AS (SELECT *, (CASE WHEN round(z_cf - b_hat, 9) > 0 THEN 1.0 WHEN round(z_cf - b_hat, 9) = 0 THEN 0.5 ELSE 0.0 END + CASE WHEN round(z_rf - b_hat, 9) < 0 THEN 1.0 WHEN round(z_rf - b_hat, 9) = 0 THEN 0.5 ELSE 0.0 END) / 2 AS score FROM es)
+SELECT estimator, coalesce(category, 'all') AS category, count(*) AS n_items, round(avg(score), 6) AS acc FROM cr GROUP BY GROUPING SETS ((estimator), (estimator, category))""")
+def correction_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = G.loo_estimates(pairs(spark, sf_dir)).withColumns({"b_hat": F.col("b_hat"), "z_cf": F.round(F.col("z_cf") - F.col("b_hat"), 9), "z_rf": F.round(F.col("z_rf") - F.col("b_hat"), 9)}).withColumn("b_hat", F.lit(0.0))
+    named = G.corrected(rows).withColumn("category", F.explode(F.array(F.lit("all"), F.col("category"))))
+    return rounded(named.groupBy("estimator", "category").agg(F.count("*").alias("n_items"), F.avg("score").alias("acc")))
+
+
+@query(f"{PAIRS}, f AS (SELECT b, avg(b) OVER (PARTITION BY category) AS m1, avg(b) OVER (PARTITION BY subset) AS m2 FROM pa) SELECT unnest(['category', 'subset']) AS spec, unnest([round(1 - sum((b - m1) * (b - m1)) / (var_pop(b) * count(*)), 6), round(1 - sum((b - m2) * (b - m2)) / (var_pop(b) * count(*)), 6)]) AS r2 FROM f")
+def bias_r2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = pairs(spark, sf_dir)
+    parts = [G.group_r2(p, "b", c).select(F.lit(c).alias("spec"), F.round("r2", 6).alias("r2")) for c in ("category", "subset")]
+    return parts[0].union(parts[1])
+
+
+@query(f"""{PAIRS} SELECT item_id, round(ln((length(chosen) + length(rejected))::DOUBLE), 6) AS log_total_chars, round(ln(length(chosen) / length(rejected)::DOUBLE), 6) AS dlog_chars, round(ln(len(regexp_extract_all(chosen, '[^\\s\\p{{Z}}\\x0b\\x1c-\\x1f\\x85]+')) / len(regexp_extract_all(rejected, '[^\\s\\p{{Z}}\\x0b\\x1c-\\x1f\\x85]+'))::DOUBLE), 6) AS dlog_words, sign(s)::DOUBLE AS sign_s FROM pa""")
+def length_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(G.length_columns(pairs(spark, sf_dir)).select("item_id", "log_total_chars", "dlog_chars", "dlog_words", "sign_s"))
+
+
+@query()
+def cond_logit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The length probe, overall and by category."""
+    rows = G.length_columns(pairs(spark, sf_dir)).withColumn("stratum", F.explode(F.array(F.lit("all"), F.col("category"))))
+    return rounded(G.length_probe(rows.select("stratum", "item_id", "s", "sign_s", "dlog_chars")))
+
+
+@query()
+def ridge_loo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = G.length_columns(pairs(spark, sf_dir))
+    return rounded(G.ridge_estimates(rows.select("model", "item_id", "subset", "b", *G.LENGTHS)))
+
+
+@query()
+def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symmetrised minus raw accuracy with 10,000 resamples, by category."""
+    rows = pairs(spark, sf_dir).select("category", "item_id", (F.col("sym") - F.col("raw_mean")).alias("d"))
+    return rounded(S.by_group(rows, ["category"], "item_id", lambda f: S.mean_interval(f["d"].to_numpy())))
+
+
+@query()
+def compliance_gap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symmetrised accuracy of compliant items minus the rest, an unpaired interval."""
+    rows = J.swap_pairs(records(spark, sf_dir)).select("model", "item_id", "sym", "compliant_both")
+    return rounded(S.by_group(rows, ["model"], "item_id", lambda f: S.two_sample_interval(f.loc[f["compliant_both"], "sym"].to_numpy(), f.loc[~f["compliant_both"], "sym"].to_numpy())))
+
+
+@query(f"""{PAIRS}, pl AS (SELECT category, sym, row_number() OVER (PARTITION BY category ORDER BY item_id) - 1 AS j, count(*) OVER (PARTITION BY category) AS n FROM pa),
+dr AS (SELECT category, r, ((((r * n + j + 1) * 1103515245 + 12345) % 2147483648) >> 8) % n AS p FROM pl, (SELECT unnest(range(50)) AS r)),
+me AS (SELECT dr.category, r, avg(sym) AS m FROM dr JOIN pl ON pl.category = dr.category AND pl.j = dr.p GROUP BY ALL)
+SELECT category, n, round(mean, 6) AS mean, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM me JOIN (SELECT category, count(*) AS n, avg(sym) AS mean FROM pa GROUP BY 1) USING (category) GROUP BY ALL""")
+def bootstrap_lcg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(S.lcg_bootstrap(pairs(spark, sf_dir).select("category", "item_id", "sym"), ["category"], "item_id", "sym"))
+
+
+@query("""WITH c AS (SELECT source, count(*) AS n FROM documents GROUP BY 1), e AS (SELECT *, 600 * n / sum(n) OVER () AS x FROM c),
+f AS (SELECT *, floor(x) AS fl, 600 - sum(floor(x)) OVER () AS short, row_number() OVER (ORDER BY x - floor(x) DESC, source) AS k FROM e)
+SELECT source, n AS count, (fl + CASE WHEN k <= short THEN 1 ELSE 0 END)::INT AS quota FROM f""")
+def stratified_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return J.largest_remainder(docs.groupBy("source").count(), 600, "source").select("source", "count", "quota")
+
+
+@query("""WITH c AS (SELECT source, count(*) AS n FROM documents GROUP BY 1), e AS (SELECT *, 600 * n / sum(n) OVER () AS x FROM c),
+f AS (SELECT *, floor(x) AS fl, 600 - sum(floor(x)) OVER () AS short, row_number() OVER (ORDER BY x - floor(x) DESC, source) AS k FROM e),
+q AS (SELECT source, fl + CASE WHEN k <= short THEN 1 ELSE 0 END AS quota FROM f)
+SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5('0:' || doc_id), doc_id) AS n FROM documents) JOIN q USING (source) WHERE n <= quota""")
+def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source")
+    return J.stratified_sample(docs, 600, "source", "doc_id").select("doc_id", "source")
+
+
+@query("SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5('0:' || source || ':' || doc_id), doc_id) AS n FROM documents) WHERE n <= 50")
+def sample_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source")
+    return J.sample_per_group(docs, 50, "source", "doc_id")
+
+
+@query(f"""WITH {ITEMS} SELECT item_id, o AS "order" FROM it, (SELECT unnest(['chosen_first', 'rejected_first']) AS o) WHERE NOT (c % 3 = 0 AND o = 'chosen_first')""")
+def resume_todo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = items(spark, sf_dir)
+    wanted = J.prompts(rows).withColumn("model", F.lit("synthetic")).select("model", "rubric", "order", "item_id")
+    done = records(spark, sf_dir).join(rows.select("item_id", "c"), "item_id").filter((F.col("c") % 3 == 0) & (F.col("order") == "chosen_first"))
+    return J.todo(wanted, done).select("item_id", "order")
