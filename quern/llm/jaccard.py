@@ -38,9 +38,9 @@ from quern.llm.vectors import sorted_groups
 from quern.plans.shared import discard, materialise, ship_package
 
 #: Groups of a point.
-GROUPS = 128
+GROUPS = 1024
 #: Classes in one tree at most; a block of more is cut into pairs of parts.
-BLOCK = 4096
+BLOCK = 1024
 #: Rounds in which each class is held against the most central class of its blocks, before the trees.
 STAR_ROUNDS = 2
 #: Bits of the filter that says which classes have a partner: a fixed 4 MB at any size of input.
@@ -111,14 +111,26 @@ def _raws(part: pa.RecordBatch) -> list[bytes]:
     return [(t or b"").lower() for t in part.column("text").cast(pa.binary()).to_pylist()]
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """One byte a group where counts allow, else four."""
+    return counts.astype("u1" if counts.max() < 256 else "<u4").tobytes()
+
+
+def _points(packed) -> np.ndarray:
+    """Rows of counts, as narrow as they allow."""
+    if all(len(p) == GROUPS for p in packed):
+        return np.frombuffer(b"".join(packed), np.uint8).reshape(len(packed), GROUPS)
+    return np.stack([np.frombuffer(p, np.uint8 if len(p) == GROUPS else "<u4").astype(np.uint32) for p in packed])
+
+
 def _sizes_pass(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in steps(batch, "text"):
                 hashes, sizes = shingle_sets(_raws(part), words)
                 member = np.repeat(np.arange(len(sizes)), sizes)
-                counts = np.bincount(member * GROUPS + (hashes & np.uint64(GROUPS - 1)).astype(np.int64), minlength=len(sizes) * GROUPS).astype("<i4").reshape(-1, GROUPS)
-                points = pa.array([c.tobytes() for c in counts], pa.binary())
+                counts = np.bincount(member * GROUPS + (hashes & np.uint64(GROUPS - 1)).astype(np.int64), minlength=len(sizes) * GROUPS).reshape(-1, GROUPS)
+                points = pa.array([_packed(c) for c in counts], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(signatures(hashes, sizes).astype(np.int64), pa.int64()), points], names=["doc_id", "n", "sig", "point"])
 
     return run
@@ -198,9 +210,9 @@ def _bound_pass(num: int, den: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             if len(f):
-                p, q = (np.frombuffer(b"".join(f[c]), "<i4").reshape(len(f), GROUPS) for c in ("pa", "pb"))
                 m, n = f["na"].to_numpy(), f["nb"].to_numpy()
-                yield f.loc[may_link(p, q, m, m, n, n, num, den), ["a", "b"]]
+                ok = [may_link(_points(f["pa"].iloc[i : i + 1024].tolist()), _points(f["pb"].iloc[i : i + 1024].tolist()), *(x[i : i + 1024] for x in (m, m, n, n)), num, den) for i in range(0, len(f), 1024)]
+                yield f.loc[np.concatenate(ok), ["a", "b"]]
 
     return run
 
@@ -211,14 +223,34 @@ def _trees_pass(num: int, den: int):
             component, sigs = group["component"].to_numpy(), group["sig"].to_numpy()
             if (component == component[0]).all():
                 continue
-            tree = CountRTree(np.frombuffer(b"".join(group["point"]), "<i4").reshape(len(group), GROUPS), group["n"].to_numpy())
+            tree = CountRTree(_points(group["point"].tolist()), group["n"].to_numpy())
             pairs = tree.self_join(num, den, component)
             if len(pairs):
                 own, i, j = group["own"].to_numpy(), group["i"].iloc[0], group["j"].iloc[0]
                 if i != j:
                     pairs = pairs[own[pairs[:, 0]] != own[pairs[:, 1]]]
                 a, b = sigs[pairs[:, 0]], sigs[pairs[:, 1]]
-                yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+                yield pd.DataFrame({"gid": group["gid"].iloc[0], "i": i, "j": j, "a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return run
+
+
+def _reaches(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
+    both = np.sort(np.concatenate([x, y]), kind="stable")
+    shared = int((both[1:] == both[:-1]).sum())
+    return shared * den >= num * (len(x) + len(y) - shared)
+
+
+def _blocks_verify_pass(num: int, den: int):
+    """Rows sorted by block: the sets of its classes, then its pairs -> the pairs that reach the similarity."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in sorted_groups(frames, ["gid", "i", "j"]):
+            sets = group[group["members"].notna()]
+            held = {s: np.frombuffer(m, np.uint64) for s, m in zip(sets["a"], sets["members"])}
+            pairs = group[group["members"].isna()]
+            ok = [_reaches(held[a], held[b], num, den) for a, b in zip(pairs["a"], pairs["b"])]
+            yield pairs.loc[np.array(ok, bool), ["a", "b"]]
 
     return run
 
@@ -226,12 +258,7 @@ def _trees_pass(num: int, den: int):
 def _verify_pass(num: int, den: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            ok = []
-            for x, y in zip(f["ma"], f["mb"]):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.sort(np.concatenate([x, y]), kind="stable")
-                shared = int((both[1:] == both[:-1]).sum())
-                ok.append(shared * den >= num * (len(x) + len(y) - shared))
+            ok = [_reaches(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), num, den) for x, y in zip(f["ma"], f["mb"])]
             yield f.loc[np.array(ok, bool), ["a", "b"]]
 
     return run
@@ -285,9 +312,13 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
     open_ = known.groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).filter("low <> high").select("gid", F.ceil(F.col("size") / BLOCK).cast("int").alias("parts"))
     dealt = known.join(open_, "gid").join(points, "sig").withColumn("own", F.pmod(F.xxhash64("sig"), "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.select("gid", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "sig", "component", "n", "point")
-    joined = dealt.repartition(n_parts, "gid", "i", "j").sortWithinPartitions("gid", "i", "j", "sig").mapInPandas(_trees_pass(num, den), "a long, b long").distinct()
+    joined = dealt.repartition(n_parts, "gid", "i", "j").sortWithinPartitions("gid", "i", "j", "sig").mapInPandas(_trees_pass(num, den), "gid long, i int, j int, a long, b long")
     done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = verified(joined.join(done, ["a", "b"], "left_anti"), "jaccard-joined")
+    # each pair in one block; a block's sets go there once, however many pairs they are in
+    open_pairs = materialise(joined.groupBy("a", "b").agg(F.min(F.struct("gid", "i", "j")).alias("block")).join(done, ["a", "b"], "left_anti").select("block.*", "a", "b"), "jaccard-open")
+    held = open_pairs.select("gid", "i", "j", F.col("a").alias("sig")).union(open_pairs.select("gid", "i", "j", "b")).distinct().join(sets, "sig")
+    rows = held.select("gid", "i", "j", F.col("sig").alias("a"), F.lit(0).cast("long").alias("b"), "members").union(open_pairs.select("gid", "i", "j", "a", "b", F.lit(None).cast("binary")))
+    more = materialise(rows.repartition(n_parts, "gid", "i", "j").sortWithinPartitions("gid", "i", "j").mapInPandas(_blocks_verify_pass(num, den), "a long, b long"), "jaccard-joined")
 
     reps = classes.select("sig", "rep")
     ids = links.union(more)

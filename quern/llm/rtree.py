@@ -10,7 +10,7 @@ import numpy as np
 
 FANOUT = 16
 #: Node or point pairs whose bounds are taken in one step.
-STEP = 1 << 15
+STEP = 1 << 12
 
 
 class CountRTree:
