@@ -1,0 +1,463 @@
+"""The ten operators against brute force, round trips or held-out accuracy, with their edge cases."""
+
+from __future__ import annotations
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, extra string, score string"
+
+
+def docs(spark, rows):
+    """rows of (doc_id, text, lang, source)."""
+    return spark.createDataFrame([(i, t, lang, s, None if t is None else len(t), "x", "clash") for i, t, lang, s in rows], DOCS)
+
+
+def sample_rows(n=60, seed=0):
+    r = random.Random(seed)
+    vocab = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 7))) for _ in range(400)]
+    texts = [" ".join(r.choice(vocab) for _ in range(r.randint(5, 120))) for _ in range(n)]
+    rows = [(i, t, "en", f"s{i % 3}") for i, t in enumerate(texts)]
+    at = n
+    for i in range(0, n, 4):  # exact and near copies
+        rows.append((at, texts[i], "en", "s0"))
+        words = texts[i].split()
+        words[len(words) // 2] = "changed"
+        rows.append((at + 1, " ".join(words), "en", None))
+        at += 2
+    shared = " ".join(r.choice(vocab) for _ in range(60))
+    for k in range(6):
+        rows.append((at + k, f"{r.choice(vocab)} {k} {shared} {r.choice(vocab)}", "en", "s1"))
+    at += 6
+    rows += [(at, None, None, None), (at + 1, "", "en", ""), (at + 2, "   \n\t ", None, "s2"), (at + 3, "one", "en", "s2"), (at + 4, "x" * 5000, "en", "s2"), (at + 5, "naïve Ünïcode 数字 😀 ÀÉ", "fr", "s2"), (None, "no id at all here", "en", "s2")]
+    return rows
+
+
+def words_of(text):
+    return WORDS.findall((text or "").encode().lower())
+
+
+# BPE ---------------------------------------------------------------------------------------------------------------
+
+
+def test_bpe_matches_the_library(spark):
+    public = pytest.importorskip("public_tokenizers")
+    tokenizers = pytest.importorskip("tokenizers")
+    from quern.llm.bpe import bpe_decode, bpe_encode
+
+    path = public.path("word_bpe_49k.json")
+    library = tokenizers.Tokenizer.from_file(path)
+    r = random.Random(1)
+    alphabet = "aàÀΣσςİßé́ \t\n\x1c\x85 　'sStTlL0१٣²ⅷ漢字한ㄱ힣😀<|>endoftexţ́.,-_"
+    texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 60))) for _ in range(400)] + ["<|endoftext|>", "a<|startoftext|>b", "ab" * 4000, "'s''s't", None, ""]
+    rows = docs(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])
+    out = bpe_encode(rows, path)
+    again = {x["doc_id"]: x["decoded"] for x in bpe_decode(out.select("doc_id", "ids"), path).collect()}
+    got = {x["doc_id"]: x for x in out.collect()}
+    assert set(out.columns) == {*rows.columns, "ids", "decoded"} and len(got) == len(texts)
+    for i, t in enumerate(texts):
+        e = library.encode(t or "", add_special_tokens=False)
+        assert got[i]["ids"] == e.ids
+        assert got[i]["decoded"] == again[i] == library.decode(e.ids, skip_special_tokens=False)
+
+
+def test_segment_tree_takes_lowest_then_leftmost():
+    from quern.llm.bpe import INFINITE, SegmentTree
+
+    tree = SegmentTree([7, 3, INFINITE, 5])
+    assert tree.node[1] == 3
+    tree.put(1, INFINITE)
+    assert tree.node[1] == 5
+    tree.put(3, 9)
+    assert tree.node[1] == 7
+
+
+# Language ID -------------------------------------------------------------------------------------------------------
+
+
+def test_language_id_learns_and_rejects(spark):
+    from quern.llm.langid import predict_language, train
+
+    r = random.Random(3)
+    parts = {"aa": ["lor", "mip", "sum", "dol"], "bb": ["xyq", "zwk", "vux", "qiz"]}
+    rows = [(i, " ".join("".join(r.choice(parts[lang]) for _ in range(3)) for _ in range(20)), lang, "s") for i, lang in enumerate(["aa", "bb"] * 60)]
+    rows += [(500, None, "aa", "s"), (501, "12 34 !!", "bb", "s"), (502, "", None, None)]
+    table = docs(spark, rows)
+    model = train(table.filter("doc_id % 4 <> 2"))
+    got = {x["doc_id"]: x for x in predict_language(table, model).collect()}
+    held = [i for i, _, lang, _ in rows[:120] if i % 4 == 2]
+    assert np.mean([got[i]["lang_pred"] == rows[i][2] for i in held]) > 0.95
+    assert all(0 <= x["score"] <= 1 for x in got.values())
+    assert [got[i]["lang_pred"] for i in (500, 501, 502)] == ["und"] * 3
+    nobody = train(table.filter("lang = 'zz'"))
+    assert {x["lang_pred"] for x in predict_language(table, nobody).collect()} == {"und"}
+    assert predict_language(table.limit(0), model).count() == 0
+
+
+# Vectors -----------------------------------------------------------------------------------------------------------
+
+
+def vectors(spark, rows):
+    return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, score string")
+
+
+def odd_vectors(at):
+    return [(at, None, 1, ""), (at + 20, [1.0] * 7 + [None], 1, ""), (at + 40, [float("nan")] * 8, 1, ""), (at + 60, [0.0] * 8, 1, ""), (at + 80, [1.0] * 8, None, ""), (at + 100, [1.0, 2.0], 1, ""), (None, [1.0] * 8, 1, "")]
+
+
+def test_topk_is_exact(spark):
+    from quern.llm.topk import top_k
+
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(400, 8)).round(1)
+    x[50:90] = x[50]  # a group of copies, so many ties
+    rows = [(i, [float(v) for v in e], 0, "") for i, e in enumerate(x)] + odd_vectors(1000)
+    got = collections.defaultdict(list)
+    for r in top_k(vectors(spark, rows), k=7, block=64).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+        assert r["rank"] == len(got[r["query_id"]])
+    able = {i: np.floor(64 * np.asarray(e, np.float32).astype(float)) for i, e, _, _ in rows if i is not None and e is not None and len(e) == 8 and all(v is not None and np.isfinite(v) for v in e)}
+    for q in [i for i in able if i % 20 == 0]:
+        scores = sorted(((-int(able[q] @ v), i) for i, v in able.items() if i != q))[:7]
+        assert got[q] == [(i, -s) for s, i in scores]
+    assert set(got) == {i for i in able if i % 20 == 0}
+    assert top_k(vectors(spark, []), k=3).count() == 0
+    few = top_k(vectors(spark, rows[:3]), k=20).collect()
+    assert len(few) == 2 and {r["query_id"] for r in few} == {0}
+
+
+def test_near_vectors_recall_and_components(spark):
+    from quern.llm.vectors import near_vectors
+
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(60, 8))
+    x = np.concatenate([centres, centres[:30] + 0.1 * rng.normal(size=(30, 8)), np.repeat(centres[:1], 30, axis=0), 3 * centres[5:8]])
+    rows = [(i, [float(np.float32(v)) for v in e], int(i % 2) if i < 60 else int((i - 60) % 2), "") for i, e in enumerate(x)] + odd_vectors(1000)
+    got = {r["vec_id"]: r for r in near_vectors(vectors(spark, rows), tables=14, n_probes=2, block=8).collect()}
+    assert len(got) == len(rows)
+    able = [(i, np.asarray(e, float), k) for i, e, k, _ in rows if i is not None and k is not None and e is not None and len(e) == 8 and all(v is not None and np.isfinite(v) for v in e) and any(e)]
+    links, found = collections.Counter(), 0
+    for a, (i, u, k) in enumerate(able):
+        for j, v, m in able[a + 1 :]:
+            if k == m and u @ v / np.sqrt((u @ u) * (v @ v)) >= 0.93:
+                links[i] += 1
+                links[j] += 1
+    found = sum(r["n_links"] for r in got.values())
+    assert found >= 0.9 * sum(links.values()) and all(r["n_links"] <= links[i] for i, r in got.items())
+    assert got[90]["component_id"] == got[92]["component_id"] and got[90]["n_links"] >= 14
+    for i in (1000, 1020, 1040, 1060, 1080):
+        assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (0, i, True)
+    assert near_vectors(vectors(spark, [])).count() == 0
+
+
+def test_lattice_decoding_is_nearest():
+    from quern.llm.lattice import NEIGHBOURS, decode, probes
+
+    assert len(NEIGHBOURS) == 240 and set((NEIGHBOURS**2).sum(1)) == {8}
+    x = np.random.default_rng(0).normal(size=(200, 8)) * 2
+    c = decode(x)
+    own = ((x - c / 2) ** 2).sum(1)
+    near = ((x[:, None, :] - (c[:, None, :] + NEIGHBOURS) / 2) ** 2).sum(2)
+    assert (own[:, None] <= near + 1e-9).all()
+    assert probes(x, c, 3).shape == (200, 3, 8)
+
+
+def test_components(spark):
+    from quern.llm.components import connected_components
+
+    r = random.Random(2)
+    links = [(r.randrange(80), r.randrange(80)) for _ in range(70)] + [(k, k + 1) for k in range(100, 140)] + [(5, 5), (None, 3)]
+    parent = {x: x for a, b in links if a is not None for x in (a, b)}
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        if a is not None and a != b:
+            a, b = top(a), top(b)
+            parent[max(a, b)] = min(a, b)
+    got = {x["id"]: x["component"] for x in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {x: top(x) for x in parent if any(x in (a, b) and a != b and a is not None for a, b in links)}
+    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# Jaccard -----------------------------------------------------------------------------------------------------------
+
+
+def brute_components(rows, words, num, den):
+    sets = {}
+    for i, t, *_ in rows:
+        w = words_of(t)
+        sets[i] = {tuple(w[k : k + words]) for k in range(len(w) - words + 1)} if len(w) >= words else ({tuple(w)} if w else set())
+    parent = {i: i for i in sets}
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = [i for i in sets if i is not None and sets[i]]
+    for k, i in enumerate(ids):
+        for j in ids[k + 1 :]:
+            both = len(sets[i] & sets[j])
+            if both and den * both >= num * (len(sets[i]) + len(sets[j]) - both):
+                a, b = top(i), top(j)
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+    return {i: (len(sets[i]), top(i)) for i in sets}
+
+
+@pytest.mark.parametrize("words,num,den", [(4, 85, 100), (5, 80, 100), (1, 50, 100)])
+def test_jaccard_components_are_exact(spark, words, num, den, monkeypatch):
+    from quern.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    rows = sample_rows()
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(docs(spark, rows), words, num, den).collect()}
+    assert got == brute_components(rows, words, num, den)
+
+
+def test_jaccard_of_nothing(spark):
+    from quern.llm.jaccard import jaccard_components
+
+    assert jaccard_components(docs(spark, [])).count() == 0
+
+
+def test_tree_join_loses_no_pair():
+    from quern.llm.rtree import CountRTree
+
+    r = np.random.default_rng(4)
+    sets = [set(r.integers(0, 60, r.integers(1, 40)).tolist()) for _ in range(150)]
+    counts = np.array([np.bincount([x % 16 for x in s], minlength=16) for s in sets])
+    got = {tuple(sorted(p)) for p in CountRTree(counts, np.array(list(map(len, sets)))).self_join(1, 2).tolist()}
+    want = {(i, j) for i in range(150) for j in range(i + 1, 150) if 2 * len(sets[i] & sets[j]) >= len(sets[i] | sets[j])}
+    assert want <= got
+
+
+# Repeats -----------------------------------------------------------------------------------------------------------
+
+
+def brute_repeats(rows, length):
+    seen, out = set(), {}
+    for i, t, *_ in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        raw = (t or "").encode()
+        gone = bytearray(len(raw))
+        for a in range(len(raw) - length + 1):
+            piece = raw[a : a + length]
+            if piece in seen:
+                gone[a : a + length] = b"\1" * length
+            seen.add(piece)
+        out[i] = (bytes(c for c, g in zip(raw, gone) if not g), len(re.findall(rb"\x01+", bytes(gone))))
+    return out
+
+
+@pytest.mark.parametrize("length,hot", [(100, 10_000), (40, 10_000), (40, 2)])
+def test_repeats_match_brute_force(spark, length, hot):
+    from quern.llm.repeats import remove_repeats
+
+    rows = sample_rows()
+    got = {r["doc_id"]: (bytes(r["kept"]), len(r["spans"])) for r in remove_repeats(docs(spark, rows), length, hot).collect()}
+    assert got == brute_repeats(rows, length)
+
+
+def test_repeats_of_nothing_and_of_repeated_rows(spark):
+    from quern.llm.repeats import remove_repeats
+
+    assert remove_repeats(docs(spark, [])).count() == 0
+    same = remove_repeats(docs(spark, [(1, "ab" * 300, "en", "s")] * 2), 100).collect()
+    assert len(same) == 2 and len({bytes(r["kept"]) for r in same}) == 1
+
+
+def test_collection_transform():
+    from quern.llm.bcr import collection_bwt, repeated
+
+    r = random.Random(5)
+    for _ in range(60):
+        strings = [bytes(r.choice(b"ab\0\xff") for _ in range(r.randint(0, 12))) for _ in range(r.randint(1, 8))]
+        bwt, lcp, owner, length = collection_bwt(strings)
+        suffixes = [strings[i][len(strings[i]) - n :] for i, n in zip(owner, length)]
+        keys = [[*(c + 1 for c in s), 0] for s in suffixes]
+        assert keys == sorted(keys) and len(keys) == sum(map(len, strings)) + len(strings)
+        for k in range(1, len(suffixes)):
+            a, b = suffixes[k - 1], suffixes[k]
+            assert lcp[k] == next((j for j, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        assert all((bwt[k] == 0) == (length[k] == len(strings[owner[k]])) for k in range(len(bwt)))
+        group, string, offset = repeated(strings, 3)
+        assert all(len(strings[s][o : o + 3]) == 3 for s, o in zip(string, offset))
+
+
+# Licences ----------------------------------------------------------------------------------------------------------
+
+
+def test_licences(spark):
+    from quern.llm.licences import TEMPLATES, scan_licences
+
+    rows = [(0, "First line.\nReleased under the MIT License.\nLast.", "en", "s"), (1, "Licensed under the Apache License, Version 2.0. And more words follow here.", "en", "s"), (2, "A driving license is required.", "en", "s"), (3, None, None, None), (4, "", "en", "s"), (5, "LICENSED UNDER CC BY-NC 4.0", "en", "s"), (6, "plain text " * 2000, "en", "s"), (7, "Licensed under the Northwind Community License", "en", "s")]
+    got = {r["doc_id"]: r for r in scan_licences(docs(spark, rows)).collect()}
+    family = lambda i: [p["family"] for p in got[i]["licences"]]
+    assert (family(0), got[0]["licences"][0]["paragraph"]) == (["mit"], 1)
+    assert family(1) == ["apache-2.0"] and family(5) == ["cc-by-nc"]
+    assert family(2) == ["unknown"] and family(7) == ["unknown"]
+    assert family(3) == family(4) == family(6) == []
+    assert (got[3]["n_paragraphs"], got[0]["n_paragraphs"]) == (0, 3)
+    every = [(k, t, "en", "s") for k, t in enumerate(t for ts in TEMPLATES.values() for t in ts)]
+    found = {r["doc_id"]: [p["family"] for p in r["licences"]] for r in scan_licences(docs(spark, every)).collect()}
+    names = [f for f, ts in TEMPLATES.items() for _ in ts]
+    assert sum(found[k] == [names[k]] for k in found) >= len(names) - 1
+    assert scan_licences(docs(spark, [])).count() == 0
+
+
+# Mixing ------------------------------------------------------------------------------------------------------------
+
+
+def test_mixing_meets_targets(spark):
+    from quern.llm.mixing import mix_sources
+
+    rows = sample_rows()
+    first = mix_sources(docs(spark, rows)).collect()
+    again = mix_sources(docs(spark, rows).repartition(7)).collect()
+    assert sorted(map(repr, first)) == sorted(map(repr, again)) and len(first) == len(rows)
+    size = collections.Counter()
+    for _, t, _, s in rows:
+        size[s] += len(words_of(t))
+    order = sorted((s for s in size if s is not None)) + [None]
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
+    total, open_, target = sum(size.values()), set(order), {}
+    while True:
+        left = total - sum(target.values())
+        share = {s: left * weight[s] / sum(weight[o] for o in open_) for s in open_}
+        over = [s for s in open_ if share[s] > 3 * size[s]]
+        if not over:
+            target.update(share)
+            break
+        for s in over:
+            target[s] = 3.0 * size[s]
+            open_.discard(s)
+    of = {i: s for i, _, _, s in rows}
+    taken = collections.Counter()
+    for r in first:
+        s = of[r["doc_id"]]
+        assert r["source_size"] == size[s] and abs(r["target"] - target[s]) < 1e-6 * max(1, target[s])
+        assert 0 <= r["taken"] <= 3 * r["size"]
+        taken[s] += r["taken"]
+    for s in order:
+        assert abs(taken[s] - target[s]) <= max(8, 0.01 * total)
+    assert mix_sources(docs(spark, [])).count() == 0
+    assert [r["taken"] for r in mix_sources(docs(spark, [(1, None, "en", "a"), (2, "", "en", "b")])).collect()] == [0, 0]
+
+
+# Secrets -----------------------------------------------------------------------------------------------------------
+
+
+def test_secrets(spark):
+    from quern.llm.secrets import scan_secrets
+
+    key = "f95017526fc608ad71587f8ea5418b66ff2e6d38"
+    rows = [(0, f'some words token = "{key}" more words', "en", "s"), (1, "order number 6914592418178720 of the list", "en", "s"), (2, f"checksum sha256: {key} of the file", "en", "s"), (3, None, None, None), (4, "", "en", "s"), (5, f'api_key: "{key}" then token = "{key.upper()}"', "en", "s"), (6, "word " * 5000, "en", "s")]
+    got = {r["doc_id"]: r for r in scan_secrets(docs(spark, rows), path_col="source").collect()}
+    secret = lambda i: [f["value"] for f in got[i]["findings"] if f["is_secret"]]
+    assert secret(0) == [key] and got[0]["redacted"] == 'some words token = "<secret>" more words'
+    assert secret(1) == [] and got[1]["redacted"] == rows[1][1] and secret(2) == []
+    assert (got[3]["redacted"], got[4]["redacted"], got[6]["redacted"]) == (None, "", rows[6][1])
+    assert secret(5) == [key, key.upper()] and key not in got[5]["redacted"]
+    assert scan_secrets(docs(spark, [])).count() == 0
+
+
+# Language model ----------------------------------------------------------------------------------------------------
+
+
+def test_language_model(spark):
+    from quern.llm.lm import score_documents
+    from quern.llm.text_arrays import crc32_mod
+
+    rows = [r for r in sample_rows(200) if r[0] is not None]
+    out = {r["doc_id"]: r for r in score_documents(docs(spark, rows), crc32_mod("doc_id", 7) == 2).collect()}
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, *_ in rows}
+    count = collections.Counter(w for i, t, *_ in rows if not held[i] for w in [*words_of(t), b"\n"])
+    n, v = sum(count.values()), len(count)
+    for i, t, *_ in rows:
+        tokens = [*words_of(t), b"\n"]
+        r = out[i]
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[i], len(tokens), sum(count[w] > 0 for w in tokens), n)
+        assert abs(r["base_score"] - sum(np.log10((count[w] + 1) / (n + v + 1)) for w in tokens)) < 1e-6
+        assert r["score"] < 0
+    assert score_documents(docs(spark, []), F.lit(False)).count() == 0
+    alone = score_documents(docs(spark, rows[:3]), F.lit(True)).collect()
+    assert len(alone) == 3 and all(r["train_tokens"] == 0 for r in alone)
+
+
+def test_pitman_yor_sums_to_one():
+    from quern.llm.pitman_yor import DEPTH, PitmanYor, cells_of, counted_cells
+
+    text = b"the cat sat on the mat\nthe dog sat on the cat\n"
+    buf = np.frombuffer(text, np.uint8)
+    cells, counts = np.unique(cells_of(buf, np.array([0, 23])), return_counts=True)
+    model = PitmanYor.fit(counted_cells(cells, counts, DEPTH))
+    for c in cells_of(buf, np.array([0, 23]))[[0, 3, 10, 30]]:
+        assert abs((10.0 ** model.log10((c & ~255) | np.arange(256)).astype(float)).sum() - 1) < 1e-5
+
+
+# The registered queries and the pipeline ---------------------------------------------------------------------------
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    import corpus_pipeline
+
+    r = random.Random(9)
+    parts = {"en": ["lor", "mip", "sum", "dol"], "fr": ["xyq", "zwk", "vux", "qiz"]}
+    rows = [(i, " ".join("".join(r.choice(parts[lang]) for _ in range(3)) for _ in range(30)), lang, f"s{i % 2}") for i, lang in enumerate(["en", "fr"] * 20)]
+    key = "f95017526fc608ad71587f8ea5418b66ff2e6d38"
+    rows += [(100, rows[0][1], "en", "s0"), (101, rows[1][1] + " tail", "fr", "s1"), (102, "12 34 56", "en", "s0"), (103, None, None, None), (104, rows[2][1][::-1] + f' token = "{key}"', None, "s0"), (None, "lormipsum dollormip no id", "en", "s0")]
+    docs(spark, rows).select(*corpus_pipeline.COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
+    table = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        before = table
+        table = stage(spark, table, str(tmp_path))
+        if k < len(corpus_pipeline.STAGES) - 1:
+            assert set(table.columns) == set(corpus_pipeline.COLUMNS), name
+        table.write.parquet(f"{tmp_path}/{k}")
+        table = spark.read.parquet(f"{tmp_path}/{k}")
+        left = [x.asDict() for x in table.collect()]
+        ids = collections.Counter(x["doc_id"] for x in left)
+        if name == "language_id":
+            assert 102 not in ids and 103 not in ids and all(i in ids for i in range(40)) and all(x["lang"] for x in left)
+        elif name == "near_duplicates":
+            groups = brute_components([(x["doc_id"], x["text"]) for x in before.collect()], 5, 80, 100)
+            assert ids == collections.Counter(i for i, (_, c) in groups.items() if i is None or i == c)
+        elif name == "secrets":
+            assert not any(key in (x["text"] or "") for x in left) and len(left) == before.count()
+            assert all(x["n_chars"] == len(x["text"]) for x in left)
+        elif name == "mixing":
+            assert set(ids) <= {x["doc_id"] for x in before.collect()} and ids[None] == 1
+        else:
+            assert len(left) == before.count() and all(x["n_tokens"] == len(x["ids"]) > 0 for x in left)
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == table.count()
+
+
+def test_registered_names():
+    import __spark_entry__
+
+    names = __spark_entry__.queries()
+    assert "pipeline" in names
+    assert {int(n[2:].split("_")[0]) for n in names if re.match(r"op\d+_", n)} == set(range(1, 11))
+    assert set(__spark_entry__.oracle_sql()) <= set(names)
+
+
+def test_digests_of_op1(spark, tmp_path):
+    pytest.importorskip("public_tokenizers")
+    from quern.llm.queries import QUERIES
+
+    docs(spark, [(0, "Hello  World", "en", "s"), (1, None, "en", "s")]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in QUERIES["op1_bpe"](spark, str(tmp_path)).collect()}
+    assert got[1]["n_tokens"] == 0 and got[1]["ids_sha256"] == got[1]["decoded_sha256"] == hashlib.sha256(b"").hexdigest()
+    assert got[0]["decoded_sha256"] == hashlib.sha256(b"hello</w> world</w>").hexdigest()
