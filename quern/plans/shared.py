@@ -6,6 +6,7 @@ store Spark knows.  Nothing is kept in executor-local folders: a lost executor n
 
 from __future__ import annotations
 
+import gc
 import io
 import os
 import tempfile
@@ -51,6 +52,12 @@ def discard(df: DataFrame | None) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files of finished plans now instead of at the driver's next garbage collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def ship_package(spark: SparkSession) -> None:
     """Sends this package's sources to the executors once per application."""
     app = spark.sparkContext.applicationId
