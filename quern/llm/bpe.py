@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from quern.plans.shared import ship_package
 
 #: Words kept by each Python worker; two generations of this size, so memory is bounded.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 200_000
 INFINITE = 1 << 62
 #: White space as the vocabulary's patterns understand it (Unicode White_Space).
 SPACE = r"\t-\r \x85\xa0  -     　"
@@ -169,6 +169,12 @@ class BpeCodec:
         """Ids of one pre-token."""
         return self.merge(self.symbols(word))
 
+    def forget(self) -> None:
+        """Empties the caches."""
+        self.cache.clear()
+        self.cache.old = {}
+        self.merged.clear()
+
     @staticmethod
     def normal(text: str) -> str:
         """NFC, then lower case letter by letter (no final sigma)."""
@@ -323,6 +329,10 @@ def bpe_encode(docs: DataFrame, vocabulary: str, text_col: str = "text", ids_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(sent.value)
+        yield from coded(codec, batches)
+        codec.forget()  # the worker may serve other operators next
+
+    def coded(codec: BpeCodec, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)

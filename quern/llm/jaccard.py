@@ -35,7 +35,7 @@ from quern.llm.rtree import CountRTree, may_link
 from quern.llm.shingles import mix, shingle_sets
 from quern.llm.text_arrays import hash_filter, in_filter, steps
 from quern.llm.vectors import sorted_groups
-from quern.plans.shared import discard, materialise, ship_package
+from quern.plans.shared import free_shuffles, materialise, ship_package
 
 #: Groups of a point.
 GROUPS = 1024
@@ -277,12 +277,14 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
     keyed = texts.filter("doc_id IS NOT NULL").mapInArrow(_keys_pass(words, num, den), "key long, sig long")
     met = keyed.repartition(n_parts, "key").sortWithinPartitions("key", "sig").mapInPandas(_blocks_pass, "gid long, sig long")
     blocks = materialise(met.distinct(), "jaccard-blocks")
+    free_shuffles(spark)
 
     # exact sets of the classes that met another, found through a filter of fixed size
     asked = blocks.select("sig").distinct()
     sent = hash_filter(asked.select(F.col("sig").alias("key")), FILTER_BITS)
     found = texts.filter("doc_id IS NOT NULL").mapInArrow(_sets_pass(words, sent), "sig long, members binary")
     sets = materialise(found.dropDuplicates(["sig"]).join(asked, "sig", "left_semi"), "jaccard-sets")
+    free_shuffles(spark)
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         a, b = sets.select(F.col("sig").alias("a"), F.col("members").alias("ma")), sets.select(F.col("sig").alias("b"), F.col("members").alias("mb"))
@@ -320,6 +322,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
     rows = held.select("gid", "i", "j", F.col("sig").alias("a"), F.lit(0).cast("long").alias("b"), "members").union(open_pairs.select("gid", "i", "j", "a", "b", F.lit(None).cast("binary")))
     more = materialise(rows.repartition(n_parts, "gid", "i", "j").sortWithinPartitions("gid", "i", "j").mapInPandas(_blocks_verify_pass(num, den), "a long, b long"), "jaccard-joined")
 
+    free_shuffles(spark)
     reps = classes.select("sig", "rep")
     ids = links.union(more)
     for side in ("a", "b"):

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from quern.llm.bcr import repeated
 from quern.llm.shingles import mix
 from quern.llm.text_arrays import hash_filter, in_filter, steps
-from quern.plans.shared import discard, materialise, ship_package
+from quern.plans.shared import discard, free_shuffles, materialise, ship_package
 
 #: Bytes of a minimizer: a power of two.
 GRAM = 32
@@ -383,6 +383,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, hot: int = HOT, id_col: s
     spans = materialise(known[0].union(known[1]).union(solved).union(frequent), "repeat-spans")
     for spent in (noted, classes, pieces):
         discard(spent)
+    free_shuffles(spark)
     per_doc = spans.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     listed = _with_spans(texts, per_doc)
     return listed.mapInArrow(_cut_pass, "doc_id long, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary")
