@@ -41,8 +41,8 @@ from quern.plans.shared import free_shuffles, materialise, ship_package
 GROUPS = 1024
 #: Classes in one tree at most; a block of more is cut into pairs of parts.
 BLOCK = 1024
-#: Rounds in which each class is held against the most central class of its blocks, before the trees.
-STAR_ROUNDS = 2
+#: Rounds (one pass over the texts each) in which each class is held against the most central class of its blocks, before the trees.
+STAR_ROUNDS = 1
 #: Bits of the filter that says which classes have a partner: a fixed 4 MB at any size of input.
 FILTER_BITS = 1 << 25
 #: Classes each task remembers, so that copies file their keys once a task.
@@ -279,16 +279,14 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
     blocks = materialise(met.distinct(), "jaccard-blocks")
     free_shuffles(spark)
 
-    # exact sets of the classes that met another, found through a filter of fixed size
-    asked = blocks.select("sig").distinct()
-    sent = hash_filter(asked.select(F.col("sig").alias("key")), FILTER_BITS)
-    found = texts.filter("doc_id IS NOT NULL").mapInArrow(_sets_pass(words, sent), "sig long, members binary")
-    sets = materialise(found.dropDuplicates(["sig"]).join(asked, "sig", "left_semi"), "jaccard-sets")
-    free_shuffles(spark)
-
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        a, b = sets.select(F.col("sig").alias("a"), F.col("members").alias("ma")), sets.select(F.col("sig").alias("b"), F.col("members").alias("mb"))
-        return materialise(pairs.join(a, "a").join(b, "b").mapInPandas(_verify_pass(num, den), "a long, b long"), name)
+    def sets_of(pairs: DataFrame, name: str) -> DataFrame:
+        """Exact sets of the classes in pairs(a, b): one pass over the texts behind a filter of fixed size."""
+        asked = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
+        sent = hash_filter(asked.select(F.col("sig").alias("key")), FILTER_BITS)
+        found = texts.filter("doc_id IS NOT NULL").mapInArrow(_sets_pass(words, sent), "sig long, members binary")
+        sets = materialise(found.dropDuplicates(["sig"]).join(asked, "sig", "left_semi"), name)
+        free_shuffles(spark)
+        return sets
 
     points = classes.select("sig", "n", "point")
     # the class in most blocks is the nearest to a group's middle
@@ -307,7 +305,10 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
         seen = stars
         for side in ("a", "b"):
             seen = seen.join(points.select(F.col("sig").alias(side), F.col("n").alias(f"n{side}"), F.col("point").alias(f"p{side}")), side)
-        more = verified(seen.mapInPandas(_bound_pass(num, den), "a long, b long"), f"jaccard-tied-{turn}")
+        near = materialise(seen.mapInPandas(_bound_pass(num, den), "a long, b long"), f"jaccard-near-{turn}")
+        sets = sets_of(near, f"jaccard-sets-{turn}")
+        a, b = sets.select(F.col("sig").alias("a"), F.col("members").alias("ma")), sets.select(F.col("sig").alias("b"), F.col("members").alias("mb"))
+        more = materialise(near.join(a, "a").join(b, "b").mapInPandas(_verify_pass(num, den), "a long, b long"), f"jaccard-tied-{turn}")
         links, tried = (more, stars) if links is None else (links.union(more), tried.union(stars))
         known = materialise(ranked.join(connected_components(links).select(F.col("id").alias("sig"), "component"), "sig", "left").withColumn("component", F.coalesce("component", "sig")), f"jaccard-known-{turn}")
 
@@ -318,6 +319,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
     done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     # each pair in one block; a block's sets go there once, however many pairs they are in
     open_pairs = materialise(joined.groupBy("a", "b").agg(F.min(F.struct("gid", "i", "j")).alias("block")).join(done, ["a", "b"], "left_anti").select("block.*", "a", "b"), "jaccard-open")
+    sets = sets_of(open_pairs, "jaccard-sets")
     held = open_pairs.select("gid", "i", "j", F.col("a").alias("sig")).union(open_pairs.select("gid", "i", "j", "b")).distinct().join(sets, "sig")
     rows = held.select("gid", "i", "j", F.col("sig").alias("a"), F.lit(0).cast("long").alias("b"), "members").union(open_pairs.select("gid", "i", "j", "a", "b", F.lit(None).cast("binary")))
     more = materialise(rows.repartition(n_parts, "gid", "i", "j").sortWithinPartitions("gid", "i", "j").mapInPandas(_blocks_verify_pass(num, den), "a long, b long"), "jaccard-joined")
