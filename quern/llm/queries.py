@@ -158,3 +158,26 @@ def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_sort(F.array_distinct(F.transform(known, lambda p: p["family"]))).alias("families"),
         F.coalesce(F.array_max(F.transform(known, lambda p: p["probability"])), F.lit(0.0)).alias("max_probability"),
     )
+
+
+#: Brute force: all pairs of a label; reachability by repeated steps.
+ORACLES["op5_near_vectors"] = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, embedding IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0 AS able FROM embeddings),
+n AS (SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS size FROM v WHERE able),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_dot_product(a.e, b.e) / (a.size * b.size) >= 0.93),
+r AS (SELECT vec_id AS id, vec_id AS c FROM v UNION SELECT l.b, r.c FROM r JOIN l ON r.id = l.a),
+m AS (SELECT id, min(c) AS component_id FROM r GROUP BY id)
+SELECT vec_id, (SELECT count(*) FROM l WHERE a = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN m ON id = vec_id
+"""
+
+#: Brute force: overlaps counted over shared shingles; reachability by repeated steps.
+ORACLES["op6_jaccard"] = """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS l FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(l) = 0 THEN [] WHEN len(l) < 4 THEN [array_to_string(l, ' ')] ELSE list_transform(range(1, len(l) - 2), lambda i: array_to_string(l[i:i + 3], ' ')) END) AS s FROM w),
+x AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS k FROM x a JOIN x b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM i WHERE 100 * k >= 85 * (na + nb - k)),
+r AS (SELECT doc_id AS id, doc_id AS c FROM s UNION SELECT l.b, r.c FROM r JOIN l ON r.id = l.a),
+m AS (SELECT id, min(c) AS component_id FROM r GROUP BY id)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id FROM s JOIN m ON id = doc_id
+"""
