@@ -30,7 +30,7 @@ from quern.plans.shared import ship_package
 CACHE_WORDS = 200_000
 INFINITE = 1 << 62
 #: White space as the vocabulary's patterns understand it (Unicode White_Space).
-SPACE = r"\t-\r \x85\xa0  -     　"
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def byte_alphabet() -> list[str]:
