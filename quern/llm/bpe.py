@@ -13,6 +13,7 @@ carried through unless they clash with the output names, in which case the outpu
 
 from __future__ import annotations
 
+import ctypes
 import json
 import unicodedata
 from array import array
@@ -174,6 +175,11 @@ class BpeCodec:
         self.cache.clear()
         self.cache.old = {}
         self.merged.clear()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
 
     @staticmethod
     def normal(text: str) -> str:

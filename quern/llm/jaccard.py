@@ -218,6 +218,7 @@ def _bound_pass(num: int, den: int):
 
 def _trees_pass(num: int, den: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()  # pairs meet in many blocks; most of those are in one task
         for group in sorted_groups(frames, ["gid", "i", "j"]):
             component, sigs = group["component"].to_numpy(), group["sig"].to_numpy()
             if (component == component[0]).all():
@@ -229,6 +230,12 @@ def _trees_pass(num: int, den: int):
                 if i != j:
                     pairs = pairs[own[pairs[:, 0]] != own[pairs[:, 1]]]
                 a, b = sigs[pairs[:, 0]], sigs[pairs[:, 1]]
+                names = mix(np.minimum(a, b).astype(np.uint64)) ^ np.maximum(a, b).astype(np.uint64)
+                fresh = np.array([n not in seen for n in names.tolist()], bool)
+                if len(seen) > SEEN:
+                    seen.clear()
+                seen.update(names.tolist())
+                a, b = a[fresh], b[fresh]
                 yield pd.DataFrame({"gid": group["gid"].iloc[0], "i": i, "j": j, "a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     return run
@@ -311,10 +318,11 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
         links, tried = (more, stars) if links is None else (links.union(more), tried.union(stars))
         known = materialise(ranked.join(connected_components(links).select(F.col("id").alias("sig"), "component"), "sig", "left").withColumn("component", F.coalesce("component", "sig")), f"jaccard-known-{turn}")
 
-    open_ = known.groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).filter("low <> high").select("gid", F.ceil(F.col("size") / BLOCK).cast("int").alias("parts"))
+    open_ = known.groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("sig").alias("least"), F.count("*").alias("size")).filter("low <> high").select("gid", "least", F.ceil(F.col("size") / BLOCK).cast("int").alias("parts"))
     dealt = known.join(open_, "gid").join(points, "sig").withColumn("own", F.pmod(F.xxhash64("sig"), "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("gid", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "sig", "component", "n", "point")
-    joined = dealt.repartition(n_parts, "gid", "i", "j").sortWithinPartitions("gid", "i", "j", "sig").mapInPandas(_trees_pass(num, den), "gid long, i int, j int, a long, b long")
+    dealt = dealt.select("gid", "least", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "sig", "component", "n", "point")
+    # blocks with the same least class hold mostly the same pairs
+    joined = dealt.repartition(n_parts, "least", "i", "j").drop("least").sortWithinPartitions("gid", "i", "j", "sig").mapInPandas(_trees_pass(num, den), "gid long, i int, j int, a long, b long")
     done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     # each pair in one block; a block's sets go there once, however many pairs they are in
     open_pairs = materialise(joined.groupBy("a", "b").agg(F.min(F.struct("gid", "i", "j")).alias("block")).join(done, ["a", "b"], "left_anti").select("block.*", "a", "b"), "jaccard-open")

@@ -96,7 +96,7 @@ def _text_hash(raw: bytes) -> int:
 def _keys_pass(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in steps(batch, "text"):
+            for part in steps(batch, "text", 4 << 20):
                 keys, counts = np.unique(segments(_raws(part), length)[3], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(np.minimum(counts, 2), pa.int64())], names=["key", "n"])
 
@@ -127,7 +127,7 @@ def _segments_pass(length: int, sent):
         bits = np.frombuffer(sent.value, np.uint8)
         names = ["key", "sid", "doc_id", "text_hash", "start", "windows", "stop"]
         for batch in batches:
-            for part in steps(batch, "text"):
+            for part in steps(batch, "text", 4 << 20):
                 raws, text, start, windows, key, _, doc, hashes = _located(part, length, bits)
                 if not len(text):
                     continue
@@ -201,7 +201,7 @@ def _bytes_pass(length: int, keys, places):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, chosen = np.frombuffer(keys.value, np.uint8), np.frombuffer(places.value, np.uint8)
         for batch in batches:
-            for part in steps(batch, "text"):
+            for part in steps(batch, "text", 4 << 20):
                 raws, text, start, windows, key, gram, doc, hashes = _located(part, length, bits)
                 some = np.flatnonzero(in_filter(chosen, _place_hash(doc, hashes, start)))
                 pieces = [raws[t][a : a + w + length - 1] for t, a, w in zip(text[some].tolist(), start[some].tolist(), windows[some].tolist())]

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one step of a flat computation takes; longer texts go alone.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
 
 
 def steps(batch: pa.RecordBatch, text_col: str, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
