@@ -356,6 +356,22 @@ def test_mixing_meets_targets(spark):
     assert [r["taken"] for r in mix_sources(docs(spark, [(1, None, "en", "a"), (2, "", "en", "b")])).collect()] == [0, 0]
 
 
+def test_mixing_small_sources_beside_a_large_one(spark):
+    from quern.llm.mixing import GOLDEN_31, mix_sources, source_slots
+
+    rows = [(i, "w " * 100_000, "en", "hot") for i in range(64)] + [(100 + i, "one two", "en", f"tail{i}") for i in range(60)]
+    taken = [r["taken"] for r in mix_sources(docs(spark, rows)).filter("doc_id >= 100").collect()]
+    assert len(taken) == 60 and all(4 <= t <= 6 for t in taken)  # targets of 6 words in 6.4 million
+    targets = "skey string, source_size long, total long, target double, place int"
+    for total, wanted in ((1000, [611, 300, 89]), (5_000_000_000, [4_999_998_850, 50, 300, 800]), (10**12, [10**12 - 350, 50, 300])):
+        got = source_slots(spark.createDataFrame([(f"s{k}", 1, total, float(t), k) for k, t in enumerate(wanted)], targets)).orderBy("place").collect()
+        assert sum(r["slots"] for r in got) == total and all(abs(r["slots"] - t) <= 8 for r, t in zip(got, wanted))
+        if total == 1000:
+            edges = [round(sum(wanted[:k]) / total * 2**31) for k in range(4)]
+            points = [(k * GOLDEN_31) % 2**31 for k in range(1, total + 1)]
+            assert [r["slots"] for r in got] == [sum(lo <= p < hi for p in points) for lo, hi in zip(edges, edges[1:])]
+
+
 # Secrets -----------------------------------------------------------------------------------------------------------
 
 
