@@ -412,6 +412,36 @@ def test_language_model(spark):
     assert len(alone) == 3 and all(r["train_tokens"] == 0 for r in alone)
 
 
+def test_language_model_keeps_rare_contexts(spark, monkeypatch):
+    """A text that occurs twice among more than a million cells is known by its own contexts, in any number of shards."""
+    from quern.llm import lm
+
+    monkeypatch.setattr(lm, "SHARD_BYTES", 1 << 20)
+    r = random.Random(3)
+    texts = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=2000)) for _ in range(1500)]
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts + texts[:20])]
+    mean = lambda rs: np.mean([x["score"] for x in rs]) / 2000
+    out = lm.score_documents(docs(spark, rows).repartition(8), F.lit(False)).collect()
+    twice = [x for x in out if x["doc_id"] < 20]
+    assert len(out) == len(rows) and mean(twice) > mean([x for x in out if 20 <= x["doc_id"] < 1500]) + 0.2
+
+
+def test_pitman_yor_shards_sum_to_one():
+    from quern.llm.pitman_yor import DEPTH, TOP, PitmanYor, cells_of, counted_cells, shortened
+
+    text = b"the cat sat on the mat\nthe dog sat on the cat\n"
+    buf = np.frombuffer(text, np.uint8)
+    cells, counts = np.unique(cells_of(buf, np.array([0, 23])), return_counts=True)
+    near, n = cells, counts
+    for k in range(DEPTH, TOP, -1):
+        near, up = np.unique(shortened(near, k), return_inverse=True)
+        n = np.bincount(up, n).astype(np.int64)
+    upper = PitmanYor.fit(counted_cells(near, n, TOP, least=1))
+    model = PitmanYor.fit(counted_cells(cells, counts, DEPTH, low=TOP + 1), upper=upper)
+    for c in cells_of(buf, np.array([0, 23]))[[0, 3, 10, 30]]:
+        assert abs((10.0 ** model.log10((c & ~255) | np.arange(256)).astype(float)).sum() - 1) < 1e-5
+
+
 def test_pitman_yor_sums_to_one():
     from quern.llm.pitman_yor import DEPTH, PitmanYor, cells_of, counted_cells
 
