@@ -68,7 +68,7 @@ def composition_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def composition_residual_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = P.terciles(runs(spark, sf_dir).filter("budget = 400"), "gold")
-    return rounded(P.composition_interval(rows, "corpus", replicates=1000))
+    return rounded(P.composition_interval(rows, "corpus"))
 
 
 @query(f"{RUNS} SELECT qid, round(a, 6) AS a, round(b, 6) AS b, round(d, 6) AS d FROM de WHERE budget = 1600 ORDER BY round(d, 9), qid LIMIT 8")

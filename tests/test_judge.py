@@ -162,3 +162,27 @@ def test_conditional_logit_recovers_coefficients():
     beta = G.conditional_logit(np.where(flip[:, None], -x, x))
     assert beta == pytest.approx([0.8, -0.4], abs=0.15)
     assert G.conditional_logit(-np.where(flip[:, None], -x, x)) == pytest.approx(-beta, abs=1e-6)
+
+
+def test_probe_intervals_take_every_resample_and_stratum(spark):
+    import numpy as np
+
+    from quern.operators import regression as G
+    from quern.plans.catalog_more import probe_intervals
+
+    rng = np.random.default_rng(4)
+    rows = [("m", "ab"[k % 2], f"i{k:02}", float(s), float(np.sign(s)), float(d)) for k, (s, d) in enumerate(rng.normal(0.3, 1, (24, 2)))]
+    got = probe_intervals(spark.createDataFrame(rows, "model string, category string, item_id string, s double, sign_s double, dlog_chars double")).collect()
+    assert {(r["category"], r["spec"], r["n"]) for r in got} == {(c, s, n) for c, n in ((None, 24), ("a", 12), ("b", 12)) for s in ("judge", "joint", "joint_sign")}
+    x = np.array([[r[3], r[5]] for r in rows if r[1] == "a"])
+    draws = np.random.default_rng(0).integers(0, 12, (10_000, 12))
+
+    def accuracy(v):
+        sd = v.std(axis=0, ddof=1)
+        v = v / np.where(sd > 0, sd, 1)
+        eta = v @ G.conditional_logit(v)
+        return ((eta > 0) + 0.5 * (eta == 0)).mean()
+
+    wanted = np.quantile([accuracy(x[i]) - accuracy(x[i][:, 1:]) for i in draws], [0.025, 0.975])
+    joint = next(r for r in got if r["category"] == "a" and r["spec"] == "joint")
+    assert np.allclose([joint["lo"], joint["hi"]], wanted, atol=1e-9)
