@@ -37,4 +37,6 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         if found == before:
             break
         before = found
-    return now.select(F.col("hi").alias("id"), F.col("lo").alias("component")).union(now.select(F.col("lo").alias("id"), F.col("lo").alias("component")).distinct())
+    out = now.select(F.col("hi").alias("id"), F.col("lo").alias("component")).union(now.select(F.col("lo").alias("id"), F.col("lo").alias("component")).distinct())
+    out._quern_path = now._quern_path  # discard() deletes the table below
+    return out

@@ -8,15 +8,16 @@ under those too, so nothing is lost.)
 
 1. Texts with equal shingle sets collapse into one class.
 2. Keys held by two classes or more make the trees' blocks; everything else is dropped unseen.
-3. First each class is held against the most central class of its blocks, the one that meets most others: a bound on
-   their points, then the exact sets.  This ties large groups of near copies together without their pairs.
+3. First each class is held against the most central class of its blocks, the one that meets most others, on the exact
+   sets, then against the next one.  This ties large groups of near copies together without their pairs.
 4. Blocks that still hold different components get an R-tree each, joined with itself: node pairs whose summed minima
-   cannot reach the similarity are left out, pairs already connected too.  The pairs that survive are verified exactly.
+   cannot reach the similarity are left out, pairs already connected too.  Pairs that survive are verified exactly while
+   their ends are still apart, so a block of n classes gives n - 1 links at most.
 5. Connected components of all verified links.
 
 Edge cases: a null text or one without words has an empty set and links with nothing; a text of fewer words is one
-shingle; ids that are null link with nothing; rows that share an id are one node; an empty table gives no rows.  Extra
-columns are ignored.
+shingle; ids that are null link with nothing (in ``jaccard_groups`` they are rows like others); rows that share an id
+are rows of their own, each with its text's links; an empty table gives no rows.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,18 +31,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.components import connected_components
-from quern.llm.rtree import CountRTree, may_link
+from quern.llm.rtree import CountRTree
 from quern.llm.shingles import mix, shingle_sets
 from quern.llm.text_arrays import hash_filter, in_filter, steps
 from quern.llm.vectors import sorted_groups
-from quern.plans.shared import free_shuffles, materialise, ship_package
+from quern.plans.shared import discard, free_shuffles, materialise, ship_package
 
 #: Groups of a point.
 GROUPS = 1024
-#: Classes in one tree at most; a block of more is cut into pairs of parts.
+#: Classes, and bytes of their sets, in one tree at most; a block of more is cut into pairs of parts.
 BLOCK = 1024
-#: Rounds (one pass over the texts each) in which each class is held against the most central class of its blocks, before the trees.
-STAR_ROUNDS = 1
+BLOCK_BYTES = 16 << 20
+#: Surviving pairs of a tree that are taken before those tied by now are dropped.
+TRIES = 4096
+#: Rounds in which each class is held against the most central class of its blocks that it was not held against, before the trees.
+STAR_ROUNDS = 3
 #: Bits of the filter that says which classes have a partner: a fixed 4 MB at any size of input.
 FILTER_BITS = 1 << 25
 #: Classes each task remembers, so that copies file their keys once a task.
@@ -110,16 +114,11 @@ def _raws(part: pa.RecordBatch) -> list[bytes]:
     return [(t or b"").lower() for t in part.column("text").cast(pa.binary()).to_pylist()]
 
 
-def _packed(counts: np.ndarray) -> bytes:
-    """One byte a group where counts allow, else four."""
-    return counts.astype("u1" if counts.max() < 256 else "<u4").tobytes()
-
-
-def _points(packed) -> np.ndarray:
-    """Rows of counts, as narrow as they allow."""
-    if all(len(p) == GROUPS for p in packed):
-        return np.frombuffer(b"".join(packed), np.uint8).reshape(len(packed), GROUPS)
-    return np.stack([np.frombuffer(p, np.uint8 if len(p) == GROUPS else "<u4").astype(np.uint32) for p in packed])
+def points_of(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Members of each set by group, one row a set, as narrow as the counts allow."""
+    member = np.repeat(np.arange(len(sizes)), sizes)
+    counts = np.bincount(member * GROUPS + (hashes & np.uint64(GROUPS - 1)).astype(np.int64), minlength=len(sizes) * GROUPS).reshape(-1, GROUPS)
+    return counts.astype(np.uint8 if counts.max(initial=0) < 256 else np.uint32)
 
 
 def _sizes_pass(words: int):
@@ -127,10 +126,7 @@ def _sizes_pass(words: int):
         for batch in batches:
             for part in steps(batch, "text"):
                 hashes, sizes = shingle_sets(_raws(part), words)
-                member = np.repeat(np.arange(len(sizes)), sizes)
-                counts = np.bincount(member * GROUPS + (hashes & np.uint64(GROUPS - 1)).astype(np.int64), minlength=len(sizes) * GROUPS).reshape(-1, GROUPS)
-                points = pa.array([_packed(c) for c in counts], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(signatures(hashes, sizes).astype(np.int64), pa.int64()), points], names=["doc_id", "n", "sig", "point"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("mark"), pa.array(sizes, pa.int64()), pa.array(signatures(hashes, sizes).astype(np.int64), pa.int64())], names=["doc_id", "mark", "n", "sig"])
 
     return run
 
@@ -203,60 +199,60 @@ def _sets_pass(words: int, filter_):
     return run
 
 
-def _bound_pass(num: int, den: int):
-    """Pairs whose points may reach the similarity."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            if len(f):
-                m, n = f["na"].to_numpy(), f["nb"].to_numpy()
-                ok = [may_link(_points(f["pa"].iloc[i : i + 1024].tolist()), _points(f["pb"].iloc[i : i + 1024].tolist()), *(x[i : i + 1024] for x in (m, m, n, n)), num, den) for i in range(0, len(f), 1024)]
-                yield f.loc[np.concatenate(ok), ["a", "b"]]
-
-    return run
-
-
-def _trees_pass(num: int, den: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[int] = set()  # pairs meet in many blocks; most of those are in one task
-        for group in sorted_groups(frames, ["gid", "i", "j"]):
-            component, sigs = group["component"].to_numpy(), group["sig"].to_numpy()
-            if (component == component[0]).all():
-                continue
-            tree = CountRTree(_points(group["point"].tolist()), group["n"].to_numpy())
-            pairs = tree.self_join(num, den, component)
-            if len(pairs):
-                own, i, j = group["own"].to_numpy(), group["i"].iloc[0], group["j"].iloc[0]
-                if i != j:
-                    pairs = pairs[own[pairs[:, 0]] != own[pairs[:, 1]]]
-                a, b = sigs[pairs[:, 0]], sigs[pairs[:, 1]]
-                names = mix(np.minimum(a, b).astype(np.uint64)) ^ np.maximum(a, b).astype(np.uint64)
-                fresh = np.array([n not in seen for n in names.tolist()], bool)
-                if len(seen) > SEEN:
-                    seen.clear()
-                seen.update(names.tolist())
-                a, b = a[fresh], b[fresh]
-                yield pd.DataFrame({"gid": group["gid"].iloc[0], "i": i, "j": j, "a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    return run
-
-
 def _reaches(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
     both = np.sort(np.concatenate([x, y]), kind="stable")
     shared = int((both[1:] == both[:-1]).sum())
     return shared * den >= num * (len(x) + len(y) - shared)
 
 
-def _blocks_verify_pass(num: int, den: int):
-    """Rows sorted by block: the sets of its classes, then its pairs -> the pairs that reach the similarity."""
+def tying_links(sets: list[np.ndarray], labels: np.ndarray, num: int, den: int, across: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Verified pairs that tie sets of different labels together, at most one for every label fewer.
+
+    The tree's surviving pairs are taken in turn; a pair is verified only while its ends are apart, so a group of near copies
+    costs about one verification a member.  across: parts of the sets; only pairs of different parts are looked at.
+    """
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    pairs = CountRTree(points_of(np.concatenate(sets), sizes), sizes).self_join(num, den, labels)
+    if across is not None:
+        pairs = pairs[across[pairs[:, 0]] != across[pairs[:, 1]]]
+    _, root = np.unique(labels, return_inverse=True)
+    found = []
+    while len(pairs):
+        for a, b in pairs[:TRIES].tolist():
+            if root[a] != root[b] and _reaches(sets[a], sets[b], num, den):
+                found.append((a, b))
+                root[root == root[b]] = root[a]
+        pairs = pairs[TRIES:]
+        pairs = pairs[root[pairs[:, 0]] != root[pairs[:, 1]]]
+    return found
 
+
+def _trees_pass(num: int, den: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tied: dict[int, int] = {}  # components that this task has tied: blocks of one cluster often follow each other
+
+        def top(c: int) -> int:
+            while c in tied:
+                c = tied[c]
+            return c
+
         for group in sorted_groups(frames, ["gid", "i", "j"]):
-            sets = group[group["members"].notna()]
-            held = {s: np.frombuffer(m, np.uint64) for s, m in zip(sets["a"], sets["members"])}
-            pairs = group[group["members"].isna()]
-            ok = [_reaches(held[a], held[b], num, den) for a, b in zip(pairs["a"], pairs["b"])]
-            yield pairs.loc[np.array(ok, bool), ["a", "b"]]
+            component = np.array([top(c) for c in group["component"].tolist()], np.int64)
+            if (component == component[0]).all():
+                continue
+            sets = [np.frombuffer(m, np.uint64) for m in group["members"]]
+            across = group["own"].to_numpy() if group["i"].iloc[0] != group["j"].iloc[0] else None
+            sigs = group["sig"].to_numpy()
+            links = tying_links(sets, component, num, den, across)
+            if len(tied) > SEEN:
+                tied.clear()
+            for a, b in links:
+                x, y = top(int(component[a])), top(int(component[b]))
+                if x != y:
+                    tied[x] = y
+            if links:
+                ends = np.array(links)
+                yield pd.DataFrame({"a": sigs[ends[:, 0]], "b": sigs[ends[:, 1]]})
 
     return run
 
@@ -270,74 +266,76 @@ def _verify_pass(num: int, den: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id (smallest id linked through pairs at num/den or over)."""
+def jaccard_groups(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text", mark_col: str | None = None) -> DataFrame:
+    """One row per row of docs: doc_id, mark (a column of longs that is carried along), n (set size), group.
+
+    group is alike for rows that are linked, directly or through others, and null for empty sets.  Every row is a node of
+    its own, whatever its id.
+    """
     spark = docs.sparkSession
     ship_package(spark)
     n_parts = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    schema = "doc_id long, n long, sig long, point binary"
-    sized = materialise(texts.mapInArrow(_sizes_pass(words), schema), "jaccard-sizes")
-    classes = materialise(sized.filter("n > 0 AND doc_id IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("point").alias("point")), "jaccard-classes")
+    mark = F.col(mark_col).cast("long") if mark_col else F.lit(None).cast("long")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), mark.alias("mark"), F.col(text_col).alias("text"))
+    sized = materialise(texts.mapInArrow(_sizes_pass(words), "doc_id long, mark long, n long, sig long"), "jaccard-sizes")
 
-    keyed = texts.filter("doc_id IS NOT NULL").mapInArrow(_keys_pass(words, num, den), "key long, sig long")
+    keyed = texts.select("text").mapInArrow(_keys_pass(words, num, den), "key long, sig long")
     met = keyed.repartition(n_parts, "key").sortWithinPartitions("key", "sig").mapInPandas(_blocks_pass, "gid long, sig long")
     blocks = materialise(met.distinct(), "jaccard-blocks")
     free_shuffles(spark)
-
-    def sets_of(pairs: DataFrame, name: str) -> DataFrame:
-        """Exact sets of the classes in pairs(a, b): one pass over the texts behind a filter of fixed size."""
-        asked = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
-        sent = hash_filter(asked.select(F.col("sig").alias("key")), FILTER_BITS)
-        found = texts.filter("doc_id IS NOT NULL").mapInArrow(_sets_pass(words, sent), "sig long, members binary")
-        sets = materialise(found.dropDuplicates(["sig"]).join(asked, "sig", "left_semi"), name)
-        free_shuffles(spark)
-        return sets
-
-    points = classes.select("sig", "n", "point")
     # the class in most blocks is the nearest to a group's middle
-    central = blocks.groupBy("sig").agg(F.count("*").alias("blocks"))
+    central = materialise(blocks.groupBy("sig").agg(F.count("*").alias("blocks")), "jaccard-central")
+    # sets of all classes that meet another: one pass over the texts behind a filter of fixed size
+    sent = hash_filter(central.select(F.col("sig").alias("key")), FILTER_BITS)
+    found = texts.select("text").mapInArrow(_sets_pass(words, sent), "sig long, members binary")
+    sets = materialise(found.dropDuplicates(["sig"]).join(central.select("sig"), "sig", "left_semi"), "jaccard-sets")
+    free_shuffles(spark)
     ranked = materialise(blocks.join(central, "sig"), "jaccard-ranked")
-    links = tried = None
+    discard(blocks)
+
+    a, b = (sets.select(F.col("sig").alias(side), F.col("members").alias(f"m{side}")) for side in ("a", "b"))
+    links = tried = parts = None
     known = ranked.withColumn("component", F.col("sig"))
+    spent = [central, ranked, sets]
     for turn in range(STAR_ROUNDS):
         middle = known.groupBy("gid").agg(F.max(F.struct("blocks", "sig", "component")).alias("middle"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("gid", "middle")
         # one pair a class: with the most central class that it meets and is not tied to
         offers = known.join(middle, "gid").filter(F.col("component") != F.col("middle.component")).select("sig", F.col("middle.blocks").alias("blocks"), F.col("middle.sig").alias("to"))
         if tried is not None:
             offers = offers.join(tried.select(F.col("a").alias("sig"), F.col("b").alias("to")), ["sig", "to"], "left_anti")
-        stars = offers.groupBy("sig").agg(F.max(F.struct("blocks", "to")).alias("best")).select(F.col("sig").alias("a"), F.col("best.to").alias("b"))
-        stars = materialise(stars, f"jaccard-stars-{turn}")
-        seen = stars
-        for side in ("a", "b"):
-            seen = seen.join(points.select(F.col("sig").alias(side), F.col("n").alias(f"n{side}"), F.col("point").alias(f"p{side}")), side)
-        near = materialise(seen.mapInPandas(_bound_pass(num, den), "a long, b long"), f"jaccard-near-{turn}")
-        sets = sets_of(near, f"jaccard-sets-{turn}")
-        a, b = sets.select(F.col("sig").alias("a"), F.col("members").alias("ma")), sets.select(F.col("sig").alias("b"), F.col("members").alias("mb"))
-        more = materialise(near.join(a, "a").join(b, "b").mapInPandas(_verify_pass(num, den), "a long, b long"), f"jaccard-tied-{turn}")
+        stars = materialise(offers.groupBy("sig").agg(F.max(F.struct("blocks", "to")).alias("best")).select(F.col("sig").alias("a"), F.col("best.to").alias("b")), f"jaccard-stars-{turn}")
+        more = materialise(stars.join(a, "a").join(b, "b").mapInPandas(_verify_pass(num, den), "a long, b long"), f"jaccard-tied-{turn}")
         links, tried = (more, stars) if links is None else (links.union(more), tried.union(stars))
-        known = materialise(ranked.join(connected_components(links).select(F.col("id").alias("sig"), "component"), "sig", "left").withColumn("component", F.coalesce("component", "sig")), f"jaccard-known-{turn}")
-
-    open_ = known.groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("sig").alias("least"), F.count("*").alias("size")).filter("low <> high").select("gid", "least", F.ceil(F.col("size") / BLOCK).cast("int").alias("parts"))
-    dealt = known.join(open_, "gid").join(points, "sig").withColumn("own", F.pmod(F.xxhash64("sig"), "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("gid", "least", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "sig", "component", "n", "point")
-    # blocks with the same least class hold mostly the same pairs
-    joined = dealt.repartition(n_parts, "least", "i", "j").drop("least").sortWithinPartitions("gid", "i", "j", "sig").mapInPandas(_trees_pass(num, den), "gid long, i int, j int, a long, b long")
-    done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    # each pair in one block; a block's sets go there once, however many pairs they are in
-    open_pairs = materialise(joined.groupBy("a", "b").agg(F.min(F.struct("gid", "i", "j")).alias("block")).join(done, ["a", "b"], "left_anti").select("block.*", "a", "b"), "jaccard-open")
-    sets = sets_of(open_pairs, "jaccard-sets")
-    held = open_pairs.select("gid", "i", "j", F.col("a").alias("sig")).union(open_pairs.select("gid", "i", "j", "b")).distinct().join(sets, "sig")
-    rows = held.select("gid", "i", "j", F.col("sig").alias("a"), F.lit(0).cast("long").alias("b"), "members").union(open_pairs.select("gid", "i", "j", "a", "b", F.lit(None).cast("binary")))
-    more = materialise(rows.repartition(n_parts, "gid", "i", "j").sortWithinPartitions("gid", "i", "j").mapInPandas(_blocks_verify_pass(num, den), "a long, b long"), "jaccard-joined")
+        parts = connected_components(links)
+        spent += [stars, more, parts]
+        known = ranked.join(parts.select(F.col("id").alias("sig"), "component"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+        known = materialise(known, f"jaccard-known-{turn}")
+        spent.append(known)
+        free_shuffles(spark)
 
+    # blocks that still hold different components: their sets go there, in cells of bounded number and size
+    apart = known.groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("gid")
+    left = materialise(known.join(apart, "gid").select("gid", "sig", "component").join(sets.select("sig", F.octet_length("members").alias("size")), "sig"), "jaccard-left")
+    cells = left.groupBy("gid").agg(F.ceil(F.greatest(F.count("*") / F.lit(BLOCK), F.sum("size") / F.lit(BLOCK_BYTES))).cast("int").alias("parts"))
+    dealt = left.join(cells, "gid").withColumn("own", F.pmod(F.xxhash64("sig"), "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("gid", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "sig", "component").join(sets, "sig")
+    spent.append(left)
+    more = materialise(dealt.repartition(n_parts, "gid", "i", "j").sortWithinPartitions("gid", "i", "j", "sig").mapInPandas(_trees_pass(num, den), "a long, b long"), "jaccard-joined")
     free_shuffles(spark)
-    reps = classes.select("sig", "rep")
-    ids = links.union(more)
-    for side in ("a", "b"):
-        ids = ids.join(reps.select(F.col("sig").alias(side), F.col("rep").alias(f"r{side}")), side)
-    parts = connected_components(ids.select("ra", "rb"), "ra", "rb")
-    owner = classes.select("sig", "rep").join(parts.select(F.col("id").alias("rep"), "component"), "rep", "left").select("sig", F.coalesce("component", "rep").alias("component"))
-    some = sized.filter("n > 0 AND doc_id IS NOT NULL").join(owner, "sig").select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
-    none = sized.filter("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return some.union(none)
+    groups = connected_components(links.union(more)).select(F.col("id").alias("sig"), "component")
+    some = sized.filter("n > 0").join(groups, "sig", "left").select("doc_id", "mark", "n", F.coalesce("component", "sig").alias("group"))
+    rows = materialise(some.union(sized.filter("n = 0").select("doc_id", "mark", "n", F.lit(None).cast("long"))), "jaccard-rows")
+    for table in [*spent, more, sized]:
+        discard(table)
+    return rows
+
+
+def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id (smallest id linked through pairs at num/den or over)."""
+    rows = jaccard_groups(docs.filter(F.col(id_col).isNotNull()), words, num, den, id_col, text_col)
+    first = rows.filter("group IS NOT NULL").groupBy("group").agg(F.min("doc_id").alias("first"))
+    some = rows.filter("group IS NOT NULL").join(first, "group").select("doc_id", F.col("n").alias("n_shingles"), F.col("first").alias("component_id"))
+    none = rows.filter("group IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    texts = docs.filter(F.col(id_col).isNull()).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("mark"), F.col(text_col).alias("text"))
+    unnamed = texts.mapInArrow(_sizes_pass(words), "doc_id long, mark long, n long, sig long").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return some.union(none).union(unnamed)
