@@ -6,11 +6,11 @@ columns of ``documents``.  Between stages the rows are written as Parquet into t
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.bpe import bpe_encode
-from quern.llm.jaccard import jaccard_components
+from quern.llm.jaccard import jaccard_groups
 from quern.llm.langid import UND, predict_language, train
 from quern.llm.mixing import mix_sources
 from quern.llm.queries import vocabulary_path
@@ -31,16 +31,20 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document (the smallest id) of each group linked at a Jaccard similarity of 0.8 on five words stays.
+    """One document of each group linked at a Jaccard similarity of 0.8 on five words stays: the one of the smallest id.
 
-    Rows that share an id count as one document; rows without an id link with nothing and stay.
+    Rows that share an id are compared by their texts like any others; a row without an id stays only where its group
+    has no id; equal rows count as one.  Documents without words link with nothing and all stay.
     """
-    groups = jaccard_components(docs, words=5, num=80, den=100)
-    first = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    # the join has dealt the rows by doc_id, so the window needs no further exchange
-    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text", "lang", "source"))
-    kept = docs.select(*COLUMNS).join(first, "doc_id").withColumn("_n", F.row_number().over(one)).filter("_n = 1")
-    return kept.select(*COLUMNS).union(docs.filter("doc_id IS NULL").select(*COLUMNS))
+    marked = docs.select(*COLUMNS, F.xxhash64("text").alias("_mark"))
+    groups = jaccard_groups(marked, words=5, num=80, den=100, mark_col="_mark")
+    # ids with the hash of their text name the rows; without an id, the hash alone
+    name = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark")
+    first = groups.filter("group IS NOT NULL").groupBy("group").agg(F.min(name).alias("first")).select("first.doc_id", F.col("first.mark").alias("_mark"))
+    wordless = groups.filter("group IS NULL").select("doc_id", F.col("mark").alias("_mark")).distinct()
+    kept = marked.join(first.distinct(), marked["doc_id"].eqNullSafe(first["doc_id"]) & (marked["_mark"] == first["_mark"]), "left_semi").dropDuplicates(["doc_id", "_mark"])
+    rest = marked.join(wordless, marked["doc_id"].eqNullSafe(wordless["doc_id"]) & (marked["_mark"] == wordless["_mark"]), "left_semi")
+    return kept.select(*COLUMNS).union(rest.select(*COLUMNS))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
