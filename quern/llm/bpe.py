@@ -7,8 +7,10 @@ logarithmic point update, until the root is infinite: O(n log n) for a word of n
 which keeps very long unbroken words cheap.
 
 Edge cases: a null or empty text has no ids and decodes to ''.  Strings of special tokens in a
-text become their special ids.  Repeated rows and ties are encoded alike; extra columns are
-carried through unless they clash with the output names, in which case the output wins.
+raw text become their special ids; other spellings of them (in capitals, say) are ordinary text.  Repeated rows
+and ties are encoded alike; extra columns are carried through unless they clash with the output names, in which case
+the output wins; an empty table gives no rows.  Texts are taken in slices of bounded bytes, a longer one alone; caches
+are bounded by words and by bytes.
 """
 
 from __future__ import annotations
@@ -25,10 +27,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from quern.llm.text_arrays import steps
 from quern.plans.shared import ship_package
 
 #: Words kept by each Python worker; two generations of this size, so memory is bounded.
 CACHE_WORDS = 200_000
+CACHE_BYTES = 48 << 20
+#: Rows and bytes of text that are encoded together (one row at least).
+SLICE_ROWS, SLICE_BYTES = 256, 2 << 20
+#: Symbols from which a word's tree is held as plain machine words.
+LONG_WORD = 4096
 INFINITE = 1 << 62
 #: White space as the vocabulary's patterns understand it (Unicode White_Space).
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -44,11 +52,21 @@ def byte_alphabet() -> list[str]:
 class SegmentTree:
     """Minimum tree with point updates."""
 
-    def __init__(self, leaves: list[int]):
+    def __init__(self, leaves: list[int] | np.ndarray):
         size = 1
         while size < len(leaves):
             size *= 2
         self.size = size
+        if isinstance(leaves, np.ndarray):
+            flat = np.full(2 * size, INFINITE, np.int64)
+            flat[size : size + len(leaves)] = leaves
+            half = size // 2
+            while half:
+                flat[half : 2 * half] = np.minimum(flat[2 * half : 4 * half : 2], flat[2 * half + 1 : 4 * half : 2])
+                half //= 2
+            self.node = array("q")
+            self.node.frombytes(flat.data.cast("B"))
+            return
         self.node = node = [INFINITE] * size + leaves + [INFINITE] * (size - len(leaves))
         for i in range(size - 1, 0, -1):
             a, b = node[2 * i], node[2 * i + 1]
@@ -69,13 +87,16 @@ class SegmentTree:
 
 
 class _Words(dict):
-    """Stretch -> (ids as int32 bytes, decoded text); fills itself, and drops the older generation when full."""
+    """Stretch -> (ids as int32 bytes, decoded text); fills itself, and drops the older generation when full.
+
+    A special token that stands in a raw text is the key (token,); a string is always ordinary text.
+    """
 
     def __init__(self, codec: BpeCodec):
         super().__init__()
-        self.codec, self.old = codec, {}
+        self.codec, self.old, self.bytes = codec, {}, 0
 
-    def __missing__(self, word: str) -> tuple[bytes, str]:
+    def __missing__(self, word: str | tuple[str]) -> tuple[bytes, str]:
         found = self.codec.reserved.get(word) or self.old.get(word)
         if found is None:
             ids = [i for w in self.codec.words.findall(word) for i in self.codec.encode_word(w)]
@@ -84,9 +105,10 @@ class _Words(dict):
         return found
 
     def make_room(self) -> None:
-        if len(self) >= CACHE_WORDS:
-            self.old = dict(self)
+        if len(self) >= CACHE_WORDS or self.bytes > CACHE_BYTES:
+            self.old = dict(self) if self.bytes <= CACHE_BYTES else {}
             self.clear()
+            self.bytes = 0
 
 
 class BpeCodec:
@@ -113,6 +135,7 @@ class BpeCodec:
             raise ValueError("the vocabulary must hold every byte, with and without the word end")
         self.byte_symbols = np.array(self.inner, np.int64), np.array(self.final, np.int64)
         self.merged: dict[str, tuple[bytes, str]] = {}
+        self.merged_bytes = 0
         keys = np.array([(a << 20) | b for a, b in self.pairs], np.int64)
         order = np.argsort(keys)
         ranks = np.array([r for r, _ in self.pairs.values()], np.int64)
@@ -120,7 +143,7 @@ class BpeCodec:
         results[ranks] = [new for _, new in self.pairs.values()]
         self.sorted_pairs = keys[order], ranks[order], results
         self.cache = _Words(self)
-        self.reserved = {t: (array("i", [i]).tobytes(), t) for t, i in self.special.items()}
+        self.reserved = {(t,): (array("i", [i]).tobytes(), t) for t, i in self.special.items()}
 
     @classmethod
     def from_json(cls, text: str) -> BpeCodec:
@@ -132,13 +155,22 @@ class BpeCodec:
         pairs = self.pairs
         if n < 2:
             return symbols
-        leaves = []
-        for p in zip(symbols, symbols[1:]):
-            found = pairs.get(p)
-            leaves.append(found[0] * n + len(leaves) if found else INFINITE)
+        after, before = range(1, n + 1), range(-1, n - 1)
+        if n < LONG_WORD:
+            leaves = []
+            for p in zip(symbols, symbols[1:]):
+                found = pairs.get(p)
+                leaves.append(found[0] * n + len(leaves) if found else INFINITE)
+            after, before = list(after), list(before)
+        else:
+            flat = np.array(symbols, np.int64)
+            keys, ranks, _ = self.sorted_pairs
+            key = (flat[:-1] << 20) | flat[1:]
+            found = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            leaves = np.where(keys[found] == key, ranks[found] * n + np.arange(n - 1), INFINITE)
+            symbols, after, before = array("i", symbols), array("q", after), array("q", before)
         tree = SegmentTree(leaves)
         node, put = tree.node, tree.put
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while (low := node[1]) != INFINITE:
             i = low % n
             j = after[i]
@@ -173,8 +205,9 @@ class BpeCodec:
     def forget(self) -> None:
         """Empties the caches."""
         self.cache.clear()
-        self.cache.old = {}
+        self.cache.old, self.cache.bytes = {}, 0
         self.merged.clear()
+        self.merged_bytes = 0
         pa.default_memory_pool().release_unused()
         try:
             ctypes.CDLL(None).malloc_trim(0)
@@ -186,24 +219,28 @@ class BpeCodec:
         """NFC, then lower case letter by letter (no final sigma)."""
         return text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
-    def learn(self, pieces: list[str]) -> None:
+    def learn(self, pieces: list[str | tuple[str]]) -> None:
         """Puts stretches that the cache lacks into it, their words merged side by side."""
         cache = self.cache
         cache.make_room()
         lacking = [p for p in {*pieces} if p not in cache and p not in cache.old and p not in self.reserved]
         find = self.words.findall
         apart = [(p,) if p.isalpha() and p.isascii() else find(p) for p in lacking]
-        if len(self.merged) > CACHE_WORDS:
+        if len(self.merged) > CACHE_WORDS or self.merged_bytes > CACHE_BYTES:
             self.merged.clear()
+            self.merged_bytes = 0
         merged = self.merged
         new = list({w for ws in apart for w in ws}.difference(merged))
-        merged.update(zip(new, self.merge_many(new)))
+        made = self.merge_many(new)
+        merged.update(zip(new, made))
+        self.merged_bytes += sum(map(len, new)) + sum([len(x[0]) + len(x[1]) for x in made])
         for p, ws in zip(lacking, apart):
             if len(ws) == 1:
                 cache[p] = merged[ws[0]]
             else:
                 parts = [merged[w] for w in ws]
                 cache[p] = (b"".join([x[0] for x in parts]), " ".join([x[1] for x in parts]))
+        cache.bytes += sum([len(p) + len(cache[p][0]) + len(cache[p][1]) for p in lacking])
 
     def merge_many(self, words: list[str]) -> list[tuple[bytes, str]]:
         """(ids, decoded text) of each word: one segment tree a row, all rows take their next merge together."""
@@ -279,12 +316,12 @@ class BpeCodec:
         ids = symbol[symbol >= 0].tolist()
         return [ids[a:b] for a, b in zip([0, *ends], ends)]
 
-    def stretches(self, text: str) -> list[str]:
-        """The normalised stretches between white space, with special tokens apart."""
+    def stretches(self, text: str) -> list[str | tuple[str]]:
+        """The normalised stretches between white space, with special tokens of the raw text apart."""
         if self.specials is not None and "<" in text and (parts := list(self.specials.finditer(text))):
             out, at = [], 0
             for m in parts:
-                out += [*self.stretches(text[at : m.start()]), m[0]]
+                out += [*self.stretches(text[at : m.start()]), (m[0],)]
                 at = m.end()
             return out + self.stretches(text[at:])
         text = self.normal(text)
@@ -339,9 +376,8 @@ def bpe_encode(docs: DataFrame, vocabulary: str, text_col: str = "text", ids_col
         codec.forget()  # the worker may serve other operators next
 
     def coded(codec: BpeCodec, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
+        for batch in (part.slice(at, SLICE_ROWS) for whole in batches for part in steps(whole, text_col, SLICE_BYTES) for at in range(0, part.num_rows, SLICE_ROWS)):
+            if batch.num_rows:
                 blobs, texts, ends = [], [], [0]
                 for parts in codec.pieces([t or "" for t in batch.column(text_col).to_pylist()]):
                     blob = b"".join([p[0] for p in parts])

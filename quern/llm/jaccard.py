@@ -8,11 +8,11 @@ under those too, so nothing is lost.)
 
 1. Texts with equal shingle sets collapse into one class.
 2. Keys held by two classes or more make the trees' blocks; everything else is dropped unseen.
-3. First each class is held against the most central class of its blocks, the one that meets most others, on the exact
-   sets, then against the next one.  This ties large groups of near copies together without their pairs.
-4. Blocks that still hold different components get an R-tree each, joined with itself: node pairs whose summed minima
-   cannot reach the similarity are left out, pairs already connected too.  Pairs that survive are verified exactly while
-   their ends are still apart, so a block of n classes gives n - 1 links at most.
+3. Every block gets an R-tree, joined with itself: node pairs whose summed minima cannot reach the similarity are left out.
+   Of the pairs that survive, only those leave that would tie the block's classes together, so a block of n classes gives
+   n - 1 pairs at most; they are verified on the exact sets.
+4. Where classes of a block are still apart and further pairs survived, the block gets their exact sets and verifies pairs
+   in turn while their ends are apart.
 5. Connected components of all verified links.
 
 Edge cases: a null text or one without words has an empty set and links with nothing; a text of fewer words is one
@@ -39,13 +39,10 @@ from quern.plans.shared import discard, free_shuffles, materialise, ship_package
 
 #: Groups of a point.
 GROUPS = 1024
-#: Classes, and bytes of their sets, in one tree at most; a block of more is cut into pairs of parts.
+#: Classes in one tree at most; a block of more is cut into pairs of parts.
 BLOCK = 1024
-BLOCK_BYTES = 16 << 20
 #: Surviving pairs of a tree that are taken before those tied by now are dropped.
 TRIES = 4096
-#: Rounds in which each class is held against the most central class of its blocks that it was not held against, before the trees.
-STAR_ROUNDS = 3
 #: Bits of the filter that says which classes have a partner: a fixed 4 MB at any size of input.
 FILTER_BITS = 1 << 25
 #: Classes each task remembers, so that copies file their keys once a task.
@@ -121,12 +118,25 @@ def points_of(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return counts.astype(np.uint8 if counts.max(initial=0) < 256 else np.uint32)
 
 
+def _packed(point: np.ndarray) -> bytes:
+    """One byte a group where counts allow, else four."""
+    return point.astype("u1" if point.max() < 256 else "<u4").tobytes()
+
+
+def _points(packed: list[bytes]) -> np.ndarray:
+    """Rows of counts, as narrow as they allow."""
+    if all(len(p) == GROUPS for p in packed):
+        return np.frombuffer(b"".join(packed), np.uint8).reshape(len(packed), GROUPS)
+    return np.stack([np.frombuffer(p, np.uint8 if len(p) == GROUPS else "<u4").astype(np.uint32) for p in packed])
+
+
 def _sizes_pass(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in steps(batch, "text"):
                 hashes, sizes = shingle_sets(_raws(part), words)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("mark"), pa.array(sizes, pa.int64()), pa.array(signatures(hashes, sizes).astype(np.int64), pa.int64())], names=["doc_id", "mark", "n", "sig"])
+                points = pa.array([_packed(p) for p in points_of(hashes, sizes)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("mark"), pa.array(sizes, pa.int64()), pa.array(signatures(hashes, sizes).astype(np.int64), pa.int64()), points], names=["doc_id", "mark", "n", "sig", "point"])
 
     return run
 
@@ -205,6 +215,31 @@ def _reaches(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
     return shared * den >= num * (len(x) + len(y) - shared)
 
 
+def _apart(pairs: np.ndarray, across: np.ndarray | None) -> np.ndarray:
+    return pairs if across is None else pairs[across[pairs[:, 0]] != across[pairs[:, 1]]]
+
+
+def forest(pairs: np.ndarray, labels: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Pairs, in their order, that tie different labels together, at most one for every label fewer; and the rows of the ties
+    among which other pairs of different labels are left."""
+    _, root = np.unique(labels, return_inverse=True)
+    start, taken, others = root.copy(), [], []
+    while len(pairs):
+        for a, b in pairs[:TRIES].tolist():
+            if root[a] != root[b]:
+                taken.append((a, b))
+                root[root == root[b]] = root[a]
+            elif start[a] != start[b]:
+                others.append(a)
+        pairs = pairs[TRIES:]
+        if len(pairs):
+            tied = root[pairs[:, 0]] == root[pairs[:, 1]]
+            others += pairs[tied & (start[pairs[:, 0]] != start[pairs[:, 1]]), 0].tolist()
+            pairs = pairs[~tied]
+    held = np.isin(root, root[np.array(others, np.int64)]) if others else np.zeros(len(root), bool)
+    return taken, np.flatnonzero(held)
+
+
 def tying_links(sets: list[np.ndarray], labels: np.ndarray, num: int, den: int, across: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Verified pairs that tie sets of different labels together, at most one for every label fewer.
 
@@ -212,9 +247,7 @@ def tying_links(sets: list[np.ndarray], labels: np.ndarray, num: int, den: int,
     costs about one verification a member.  across: parts of the sets; only pairs of different parts are looked at.
     """
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-    pairs = CountRTree(points_of(np.concatenate(sets), sizes), sizes).self_join(num, den, labels)
-    if across is not None:
-        pairs = pairs[across[pairs[:, 0]] != across[pairs[:, 1]]]
+    pairs = _apart(CountRTree(points_of(np.concatenate(sets), sizes), sizes).self_join(num, den, labels), across)
     _, root = np.unique(labels, return_inverse=True)
     found = []
     while len(pairs):
@@ -227,29 +260,38 @@ def tying_links(sets: list[np.ndarray], labels: np.ndarray, num: int, den: int,
     return found
 
 
+def _across(group: pd.DataFrame) -> np.ndarray | None:
+    return group["own"].to_numpy() if group["i"].iloc[0] != group["j"].iloc[0] else None
+
+
 def _trees_pass(num: int, den: int):
+    """Cells of blocks -> pairs (b set) that would tie their classes together if verified, smallest signatures first so that
+    blocks of one cluster name the same pairs; and the classes (b null) among which further pairs would have to be tried."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tied: dict[int, int] = {}  # components that this task has tied: blocks of one cluster often follow each other
+        for group in sorted_groups(frames, ["gid", "i", "j"]):
+            sigs = group["sig"].to_numpy()  # in order inside a cell
+            pairs = CountRTree(_points(group["point"].tolist()), group["n"].to_numpy()).self_join(num, den)
+            pairs = np.sort(_apart(pairs, _across(group)), axis=1)
+            if not len(pairs):
+                continue
+            ties, further = forest(pairs[np.lexsort([pairs[:, 1], pairs[:, 0]])], np.arange(len(sigs)))
+            gid, i, j = (group[c].iloc[0] for c in ("gid", "i", "j"))
+            ends = np.array(ties)
+            yield pd.DataFrame({"gid": gid, "i": i, "j": j, "own": 0, "a": sigs[ends[:, 0]], "b": pd.array(sigs[ends[:, 1]], "Int64")})
+            if len(further):
+                yield pd.DataFrame({"gid": gid, "i": i, "j": j, "own": group["own"].to_numpy()[further], "a": sigs[further], "b": pd.array([None] * len(further), "Int64")})
+
+    return run
+
 
-        def top(c: int) -> int:
-            while c in tied:
-                c = tied[c]
-            return c
+def _rest_pass(num: int, den: int):
+    """Cells with the sets of their classes -> verified ties."""
 
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in sorted_groups(frames, ["gid", "i", "j"]):
-            component = np.array([top(c) for c in group["component"].tolist()], np.int64)
-            if (component == component[0]).all():
-                continue
-            sets = [np.frombuffer(m, np.uint64) for m in group["members"]]
-            across = group["own"].to_numpy() if group["i"].iloc[0] != group["j"].iloc[0] else None
-            sigs = group["sig"].to_numpy()
-            links = tying_links(sets, component, num, den, across)
-            if len(tied) > SEEN:
-                tied.clear()
-            for a, b in links:
-                x, y = top(int(component[a])), top(int(component[b]))
-                if x != y:
-                    tied[x] = y
+            sigs, sets = group["sig"].to_numpy(), [np.frombuffer(m, np.uint64) for m in group["members"]]
+            links = tying_links(sets, group["component"].to_numpy(), num, den, _across(group))
             if links:
                 ends = np.array(links)
                 yield pd.DataFrame({"a": sigs[ends[:, 0]], "b": sigs[ends[:, 1]]})
@@ -277,55 +319,48 @@ def jaccard_groups(docs: DataFrame, words: int = 4, num: int = 85, den: int = 10
     n_parts = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
     mark = F.col(mark_col).cast("long") if mark_col else F.lit(None).cast("long")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), mark.alias("mark"), F.col(text_col).alias("text"))
-    sized = materialise(texts.mapInArrow(_sizes_pass(words), "doc_id long, mark long, n long, sig long"), "jaccard-sizes")
+    sized = materialise(texts.mapInArrow(_sizes_pass(words), "doc_id long, mark long, n long, sig long, point binary"), "jaccard-sizes")
 
     keyed = texts.select("text").mapInArrow(_keys_pass(words, num, den), "key long, sig long")
     met = keyed.repartition(n_parts, "key").sortWithinPartitions("key", "sig").mapInPandas(_blocks_pass, "gid long, sig long")
     blocks = materialise(met.distinct(), "jaccard-blocks")
+    points = materialise(sized.filter("n > 0").groupBy("sig").agg(F.first("n").alias("n"), F.first("point").alias("point")), "jaccard-points")
     free_shuffles(spark)
-    # the class in most blocks is the nearest to a group's middle
-    central = materialise(blocks.groupBy("sig").agg(F.count("*").alias("blocks")), "jaccard-central")
-    # sets of all classes that meet another: one pass over the texts behind a filter of fixed size
-    sent = hash_filter(central.select(F.col("sig").alias("key")), FILTER_BITS)
-    found = texts.select("text").mapInArrow(_sets_pass(words, sent), "sig long, members binary")
-    sets = materialise(found.dropDuplicates(["sig"]).join(central.select("sig"), "sig", "left_semi"), "jaccard-sets")
-    free_shuffles(spark)
-    ranked = materialise(blocks.join(central, "sig"), "jaccard-ranked")
-    discard(blocks)
 
-    a, b = (sets.select(F.col("sig").alias(side), F.col("members").alias(f"m{side}")) for side in ("a", "b"))
-    links = tried = parts = None
-    known = ranked.withColumn("component", F.col("sig"))
-    spent = [central, ranked, sets]
-    for turn in range(STAR_ROUNDS):
-        middle = known.groupBy("gid").agg(F.max(F.struct("blocks", "sig", "component")).alias("middle"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("gid", "middle")
-        # one pair a class: with the most central class that it meets and is not tied to
-        offers = known.join(middle, "gid").filter(F.col("component") != F.col("middle.component")).select("sig", F.col("middle.blocks").alias("blocks"), F.col("middle.sig").alias("to"))
-        if tried is not None:
-            offers = offers.join(tried.select(F.col("a").alias("sig"), F.col("b").alias("to")), ["sig", "to"], "left_anti")
-        stars = materialise(offers.groupBy("sig").agg(F.max(F.struct("blocks", "to")).alias("best")).select(F.col("sig").alias("a"), F.col("best.to").alias("b")), f"jaccard-stars-{turn}")
-        more = materialise(stars.join(a, "a").join(b, "b").mapInPandas(_verify_pass(num, den), "a long, b long"), f"jaccard-tied-{turn}")
-        links, tried = (more, stars) if links is None else (links.union(more), tried.union(stars))
-        parts = connected_components(links)
-        spent += [stars, more, parts]
-        known = ranked.join(parts.select(F.col("id").alias("sig"), "component"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
-        known = materialise(known, f"jaccard-known-{turn}")
-        spent.append(known)
+    def sets_of(asked: DataFrame, name: str) -> DataFrame:
+        """Exact sets of the classes asked for: one pass over the texts behind a filter of fixed size."""
+        sent = hash_filter(asked.select(F.col("sig").alias("key")), FILTER_BITS)
+        found = texts.select("text").mapInArrow(_sets_pass(words, sent), "sig long, members binary")
+        sets = materialise(found.dropDuplicates(["sig"]).join(asked, "sig", "left_semi"), name)
         free_shuffles(spark)
-
-    # blocks that still hold different components: their sets go there, in cells of bounded number and size
-    apart = known.groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("gid")
-    left = materialise(known.join(apart, "gid").select("gid", "sig", "component").join(sets.select("sig", F.octet_length("members").alias("size")), "sig"), "jaccard-left")
-    cells = left.groupBy("gid").agg(F.ceil(F.greatest(F.count("*") / F.lit(BLOCK), F.sum("size") / F.lit(BLOCK_BYTES))).cast("int").alias("parts"))
-    dealt = left.join(cells, "gid").withColumn("own", F.pmod(F.xxhash64("sig"), "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("gid", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "sig", "component").join(sets, "sig")
-    spent.append(left)
-    more = materialise(dealt.repartition(n_parts, "gid", "i", "j").sortWithinPartitions("gid", "i", "j", "sig").mapInPandas(_trees_pass(num, den), "a long, b long"), "jaccard-joined")
+        return sets
+
+    cells = blocks.groupBy("gid").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    dealt = blocks.join(cells, "gid").withColumn("own", F.pmod(F.xxhash64("sig"), "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("gid", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "sig").join(points, "sig")
+    shape = "gid long, i int, j int, own int, a long, b long"
+    joined = materialise(dealt.repartition(n_parts, "gid", "i", "j").sortWithinPartitions("gid", "i", "j", "sig").mapInPandas(_trees_pass(num, den), shape), "jaccard-joined")
+    near = materialise(joined.filter("b IS NOT NULL").select("a", "b").distinct(), "jaccard-near")
+    discard(blocks)
+    discard(points)
+    free_shuffles(spark)
+    asked = materialise(near.select(F.col("a").alias("sig")).union(near.select("b")).distinct(), "jaccard-asked")
+    sets = sets_of(asked, "jaccard-sets")
+    a, b = (sets.select(F.col("sig").alias(side), F.col("members").alias(f"m{side}")) for side in ("a", "b"))
+    links = materialise(near.join(a, "a").join(b, "b").mapInPandas(_verify_pass(num, den), "a long, b long"), "jaccard-tied")
+    parts = connected_components(links)
+
+    # cells whose classes are still apart, and not all of whose pairs were tried, get their sets
+    left = joined.filter("b IS NULL").select("gid", "i", "j", "own", F.col("a").alias("sig"))
+    known = materialise(left.join(parts.select(F.col("id").alias("sig"), "component"), "sig", "left").withColumn("component", F.coalesce("component", "sig")), "jaccard-known")
+    open_ = known.groupBy("gid", "i", "j").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("gid", "i", "j")
+    still = materialise(known.join(open_, ["gid", "i", "j"]), "jaccard-open").join(sets, "sig")
+    more = materialise(still.repartition(n_parts, "gid", "i", "j").sortWithinPartitions("gid", "i", "j", "sig").mapInPandas(_rest_pass(num, den), "a long, b long"), "jaccard-more")
     free_shuffles(spark)
     groups = connected_components(links.union(more)).select(F.col("id").alias("sig"), "component")
     some = sized.filter("n > 0").join(groups, "sig", "left").select("doc_id", "mark", "n", F.coalesce("component", "sig").alias("group"))
     rows = materialise(some.union(sized.filter("n = 0").select("doc_id", "mark", "n", F.lit(None).cast("long"))), "jaccard-rows")
-    for table in [*spent, more, sized]:
+    for table in [joined, near, asked, sets, links, parts, known, more, sized]:
         discard(table)
     return rows
 
