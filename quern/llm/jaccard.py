@@ -34,7 +34,6 @@ from quern.llm.components import connected_components
 from quern.llm.rtree import CountRTree
 from quern.llm.shingles import mix, shingle_sets
 from quern.llm.text_arrays import hash_filter, in_filter, steps
-from quern.llm.vectors import sorted_groups
 from quern.plans.shared import discard, free_shuffles, materialise, ship_package
 
 #: Groups of a point.
@@ -219,25 +218,23 @@ def _apart(pairs: np.ndarray, across: np.ndarray | None) -> np.ndarray:
     return pairs if across is None else pairs[across[pairs[:, 0]] != across[pairs[:, 1]]]
 
 
-def forest(pairs: np.ndarray, labels: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
-    """Pairs, in their order, that tie different labels together, at most one for every label fewer; and the rows of the ties
-    among which other pairs of different labels are left."""
-    _, root = np.unique(labels, return_inverse=True)
-    start, taken, others = root.copy(), [], []
+def forest(pairs: np.ndarray, n: int) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray]:
+    """Of the pairs of n rows, in their order, those that tie rows not tied yet; the first row of each row's tie; and whether
+    other pairs are left among the rows of a tie."""
+    root, taken, tried = np.arange(n), [], len(pairs)
+    rows, more = pairs[:, 0], np.zeros(n, bool)
     while len(pairs):
         for a, b in pairs[:TRIES].tolist():
-            if root[a] != root[b]:
+            x, y = int(root[a]), int(root[b])
+            if x != y:
                 taken.append((a, b))
-                root[root == root[b]] = root[a]
-            elif start[a] != start[b]:
-                others.append(a)
+                root[root == max(x, y)] = min(x, y)
         pairs = pairs[TRIES:]
-        if len(pairs):
-            tied = root[pairs[:, 0]] == root[pairs[:, 1]]
-            others += pairs[tied & (start[pairs[:, 0]] != start[pairs[:, 1]]), 0].tolist()
-            pairs = pairs[~tied]
-    held = np.isin(root, root[np.array(others, np.int64)]) if others else np.zeros(len(root), bool)
-    return taken, np.flatnonzero(held)
+        pairs = pairs[root[pairs[:, 0]] != root[pairs[:, 1]]]
+    if tried > len(taken):
+        size = np.bincount(root, minlength=n)
+        more = (np.bincount(root[rows], minlength=n) >= size)[root] & (size > 1)[root]
+    return taken, root, more
 
 
 def tying_links(sets: list[np.ndarray], labels: np.ndarray, num: int, den: int, across: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -260,38 +257,74 @@ def tying_links(sets: list[np.ndarray], labels: np.ndarray, num: int, den: int,
     return found
 
 
-def _across(group: pd.DataFrame) -> np.ndarray | None:
-    return group["own"].to_numpy() if group["i"].iloc[0] != group["j"].iloc[0] else None
+def _spans(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[dict[str, np.ndarray], int, int]]:
+    """(columns, start, stop) of each group of two rows or more, from frames that arrive sorted by keys."""
+    held: list[pd.DataFrame] = []
+
+    def spans(whole: pd.DataFrame, last: bool):
+        k = whole[keys].to_numpy()
+        edges = np.concatenate([[0], np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1, [len(k)]]).tolist()
+        ready = edges if last else edges[:-1]
+        columns = {c: whole[c].to_numpy() for c in whole.columns}
+        return [(columns, a, b) for a, b in zip(ready, ready[1:]) if b - a > 1], whole.iloc[edges[-2] :]
+
+    for frame in frames:
+        if len(frame):
+            now = frame[keys].iloc[-1].tolist()
+            same = held and held[0][keys].iloc[0].tolist() == now  # the group goes on
+            held.append(frame)
+            if not same or len(held) == 1:
+                found, rest = spans(pd.concat(held, ignore_index=True), False)
+                yield from found
+                held = [rest]
+    if held:
+        yield from spans(pd.concat(held, ignore_index=True), True)[0]
 
 
 def _trees_pass(num: int, den: int):
     """Cells of blocks -> pairs (b set) that would tie their classes together if verified, smallest signatures first so that
-    blocks of one cluster name the same pairs; and the classes (b null) among which further pairs would have to be tried."""
+    blocks of one cluster name the same pairs; and, by tie, the classes (b null) among which further pairs are left to try."""
+    names = ["gid", "i", "j", "own", "tie", "a", "b"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for group in sorted_groups(frames, ["gid", "i", "j"]):
-            sigs = group["sig"].to_numpy()  # in order inside a cell
-            pairs = CountRTree(_points(group["point"].tolist()), group["n"].to_numpy()).self_join(num, den)
-            pairs = np.sort(_apart(pairs, _across(group)), axis=1)
+        out: list[list[np.ndarray]] = []
+        size = 0
+
+        def made() -> pd.DataFrame:
+            columns = dict(zip(names, map(np.concatenate, zip(*out))))
+            columns["b"] = pd.arrays.IntegerArray(columns["b"], columns["tie"] != 0)
+            return pd.DataFrame(columns)
+
+        for f, x, y in _spans(frames, ["gid", "i", "j"]):
+            sigs, own = f["sig"][x:y], f["own"][x:y]  # signatures are in order inside a cell
+            gid, i, j = f["gid"][x], f["i"][x], f["j"][x]
+            pairs = CountRTree(_points(f["point"][x:y].tolist()), f["n"][x:y]).self_join(num, den)
+            pairs = np.sort(_apart(pairs, own if i != j else None), axis=1)
             if not len(pairs):
                 continue
-            ties, further = forest(pairs[np.lexsort([pairs[:, 1], pairs[:, 0]])], np.arange(len(sigs)))
-            gid, i, j = (group[c].iloc[0] for c in ("gid", "i", "j"))
-            ends = np.array(ties)
-            yield pd.DataFrame({"gid": gid, "i": i, "j": j, "own": 0, "a": sigs[ends[:, 0]], "b": pd.array(sigs[ends[:, 1]], "Int64")})
-            if len(further):
-                yield pd.DataFrame({"gid": gid, "i": i, "j": j, "own": group["own"].to_numpy()[further], "a": sigs[further], "b": pd.array([None] * len(further), "Int64")})
+            ties, root, more = forest(pairs[np.lexsort([pairs[:, 1], pairs[:, 0]])], y - x)
+            ends, left = np.array(ties), np.flatnonzero(more)
+            n = len(ends) + len(left)
+            none = np.zeros(len(ends), np.int64)
+            # ties are named from 1: 0 marks the pairs
+            out.append([np.full(n, gid), np.full(n, i), np.full(n, j), np.concatenate([none, own[left]]), np.concatenate([none, root[left] + 1]), np.concatenate([sigs[ends[:, 0]], sigs[left]]), np.concatenate([sigs[ends[:, 1]], np.zeros(len(left), np.int64)])])
+            size += n
+            if size > 20_000:
+                yield made()
+                out, size = [], 0
+        if out:
+            yield made()
 
     return run
 
 
 def _rest_pass(num: int, den: int):
-    """Cells with the sets of their classes -> verified ties."""
+    """Ties with the sets of their classes -> verified links."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for group in sorted_groups(frames, ["gid", "i", "j"]):
-            sigs, sets = group["sig"].to_numpy(), [np.frombuffer(m, np.uint64) for m in group["members"]]
-            links = tying_links(sets, group["component"].to_numpy(), num, den, _across(group))
+        for f, x, y in _spans(frames, ["gid", "i", "j", "tie"]):
+            sigs, sets = f["sig"][x:y], [np.frombuffer(m, np.uint64) for m in f["members"][x:y]]
+            links = tying_links(sets, f["component"][x:y], num, den, f["own"][x:y] if f["i"][x] != f["j"][x] else None)
             if links:
                 ends = np.array(links)
                 yield pd.DataFrame({"a": sigs[ends[:, 0]], "b": sigs[ends[:, 1]]})
@@ -338,7 +371,7 @@ def jaccard_groups(docs: DataFrame, words: int = 4, num: int = 85, den: int = 10
     cells = blocks.groupBy("gid").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
     dealt = blocks.join(cells, "gid").withColumn("own", F.pmod(F.xxhash64("sig"), "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.select("gid", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "sig").join(points, "sig")
-    shape = "gid long, i int, j int, own int, a long, b long"
+    shape = "gid long, i int, j int, own int, tie int, a long, b long"
     joined = materialise(dealt.repartition(n_parts, "gid", "i", "j").sortWithinPartitions("gid", "i", "j", "sig").mapInPandas(_trees_pass(num, den), shape), "jaccard-joined")
     near = materialise(joined.filter("b IS NOT NULL").select("a", "b").distinct(), "jaccard-near")
     discard(blocks)
@@ -350,12 +383,23 @@ def jaccard_groups(docs: DataFrame, words: int = 4, num: int = 85, den: int = 10
     links = materialise(near.join(a, "a").join(b, "b").mapInPandas(_verify_pass(num, den), "a long, b long"), "jaccard-tied")
     parts = connected_components(links)
 
-    # cells whose classes are still apart, and not all of whose pairs were tried, get their sets
-    left = joined.filter("b IS NULL").select("gid", "i", "j", "own", F.col("a").alias("sig"))
+    # ties whose classes are still apart, and not all of whose pairs were tried, get their sets: together if they are small
+    # enough with all that they are tied to, else block by block (ties of one list of classes once)
+    cell = ["gid", "i", "j", "tie"]
+    ties = connected_components(near)
+    sizes = ties.groupBy("component").agg(F.count("*").alias("size"))
+    ties = ties.join(sizes, "component").select(F.col("id").alias("sig"), F.when(F.col("size") <= BLOCK, F.col("component")).alias("small"))
+    left = joined.filter("b IS NULL").select(*cell, "own", F.col("a").alias("sig")).join(ties, "sig")
     known = materialise(left.join(parts.select(F.col("id").alias("sig"), "component"), "sig", "left").withColumn("component", F.coalesce("component", "sig")), "jaccard-known")
-    open_ = known.groupBy("gid", "i", "j").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("gid", "i", "j")
-    still = materialise(known.join(open_, ["gid", "i", "j"]), "jaccard-open").join(sets, "sig")
-    more = materialise(still.repartition(n_parts, "gid", "i", "j").sortWithinPartitions("gid", "i", "j", "sig").mapInPandas(_rest_pass(num, den), "a long, b long"), "jaccard-more")
+    whole = lambda name: F.lit(0).alias(name)
+    small = known.filter("small IS NOT NULL").select(F.col("small").alias("gid"), whole("i"), whole("j"), whole("tie"), whole("own"), "sig", "component").distinct()
+    small = small.join(small.groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("gid"), "gid", "left_semi")
+    large = known.filter("small IS NULL").drop("small")
+    listed = F.struct(F.count("*").alias("n"), *(F.sum(F.xxhash64("sig", F.when(F.col("i") != F.col("j"), F.col("own")), F.lit(salt)).cast("decimal(38,0)")).alias(f"h{salt}") for salt in (1, 2)))
+    open_ = large.groupBy(*cell).agg(F.min("component").alias("low"), F.max("component").alias("high"), listed.alias("listed")).filter("low <> high")
+    open_ = open_.groupBy("listed").agg(F.min(F.struct(*cell)).alias("cell")).select("cell.*")
+    still = materialise(large.join(open_, cell).select(*cell, "own", "sig", "component").union(small.select(*cell, "own", "sig", "component")), "jaccard-open").join(sets, "sig")
+    more = materialise(still.repartition(n_parts, *cell).sortWithinPartitions(*cell, "sig").mapInPandas(_rest_pass(num, den), "a long, b long"), "jaccard-more")
     free_shuffles(spark)
     groups = connected_components(links.union(more)).select(F.col("id").alias("sig"), "component")
     some = sized.filter("n > 0").join(groups, "sig", "left").select("doc_id", "mark", "n", F.coalesce("component", "sig").alias("group"))
