@@ -69,6 +69,36 @@ def test_bpe_matches_the_library(spark):
         assert got[i]["decoded"] == again[i] == library.decode(e.ids, skip_special_tokens=False)
 
 
+def test_bpe_special_tokens_stand_in_raw_texts_only(spark):
+    public = pytest.importorskip("public_tokenizers")
+    tokenizers = pytest.importorskip("tokenizers")
+    from quern.llm.bpe import bpe_encode
+
+    path = public.path("word_bpe_49k.json")
+    library = tokenizers.Tokenizer.from_file(path)
+    r = random.Random(4)
+    texts = ["<|ENDOFTEXT|>", "<|EndOfText|> x", "<|startOFtext|>", "a <|endoftext|><|ENDOFTEXT|> b", "<|STARTOFTEXT|><|startoftext|>", " <|EndOfText|>\t<|endoftext|> ", "<|endoftext|", "".join(r.choice("abcdefghij") for _ in range(60_000)), "<" * 9000]
+    got = {x["doc_id"]: x for x in bpe_encode(docs(spark, [(i, t, "en", "s") for i, t in enumerate(texts * 2)]), path).collect()}
+    for i, t in enumerate(texts * 2):
+        e = library.encode(t, add_special_tokens=False)
+        assert got[i]["ids"] == e.ids and got[i]["decoded"] == library.decode(e.ids, skip_special_tokens=False)
+    assert bpe_encode(docs(spark, []), path).count() == 0
+
+
+def test_bpe_caches_are_bounded_by_bytes(monkeypatch):
+    public = pytest.importorskip("public_tokenizers")
+    from quern.llm import bpe
+
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 2000)
+    with open(public.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        codec = bpe.BpeCodec.from_json(f.read())
+    want = codec.encode("harbour lights " + "z" * 50)
+    for k in range(200):
+        codec.encode(f"{'w' * 40} {k} filler{chr(97 + k % 26) * 30}{k}")
+        assert codec.cache.bytes < 6000 and codec.merged_bytes < 6000
+    assert codec.encode("harbour lights " + "z" * 50) == want
+
+
 def test_segment_tree_takes_lowest_then_leftmost():
     from quern.llm.bpe import INFINITE, SegmentTree
 
@@ -227,6 +257,46 @@ def test_jaccard_components_are_exact(spark, words, num, den, monkeypatch):
     assert got == brute_components(rows, words, num, den)
 
 
+def test_jaccard_ties_a_large_group_without_its_pairs(spark, monkeypatch):
+    from quern.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "BLOCK", 64)
+    r = random.Random(6)
+    base = [f"w{r.randrange(900)}" for _ in range(120)]
+    rows = []
+    for i in range(3000):
+        words = list(base)
+        for _ in range(r.randint(0, 2)):
+            words[r.randrange(120)] = f"x{r.randrange(10**6)}"
+        rows.append((i + 10, " ".join(words), "en", "s"))
+    rows += [(7, "entirely other words stand in this one text here", "en", "s"), (5, rows[40][1] + " end", "en", "s")]
+    got = {x["doc_id"]: x["component_id"] for x in jaccard.jaccard_components(docs(spark, rows), 4, 70, 100).collect()}
+    assert got == {i: 7 if i == 7 else 5 for i, *_ in rows}
+
+
+def test_forest_ties_every_pair_and_names_what_is_left():
+    from quern.llm.jaccard import forest
+
+    r = np.random.default_rng(8)
+    for n in (2, 5, 30):
+        pairs = np.array(sorted({tuple(sorted(p)) for p in r.integers(0, n, (2 * n, 2)).tolist() if p[0] != p[1]})).reshape(-1, 2)
+        ties, root, more = forest(pairs, n)
+        assert len(ties) == n - len(set(root.tolist())) and (root[pairs[:, 0]] == root[pairs[:, 1]]).all()
+        for k in set(root.tolist()):
+            inside = [tuple(p) for p in pairs.tolist() if root[p[0]] == k]
+            assert bool(more[root == k].all()) == bool(more[root == k].any()) == (len(inside) > sum(root[a] == k for a, _ in ties))
+
+
+def test_jaccard_groups_take_every_row_as_a_node(spark):
+    from quern.llm.jaccard import jaccard_groups
+
+    one, two = "the same eight words stand in this text", "quite another text with eight words of its own"
+    rows = [(1, one, "en", "s"), (1, two, "en", "s"), (None, one, "en", "s"), (None, two, "en", "s"), (2, two, "en", "s"), (3, "", "en", "s"), (4, None, "en", "s")]
+    got = jaccard_groups(docs(spark, rows).withColumn("mark", F.length("text")), 5, 80, 100, mark_col="mark").collect()
+    assert {x["group"] for x in got if x["mark"] == len(one)} != {x["group"] for x in got if x["mark"] == len(two)}
+    assert len(got) == 7 and len({x["group"] for x in got if x["n"]}) == 2 and all(x["group"] is None for x in got if not x["n"])
+
+
 def test_jaccard_of_nothing(spark):
     from quern.llm.jaccard import jaccard_components
 
