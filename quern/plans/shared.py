@@ -33,20 +33,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def materialise(df: DataFrame, name: str = "table") -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back: computed once, lineage cut, executor loss survived."""
+def materialise(df: DataFrame, name: str = "table", by: str | None = None) -> DataFrame:
+    """Writes df as Parquet into the shared folder and reads it back: computed once, lineage cut, executor loss survived.
+
+    by: a column by whose values the rows are kept in folders of their own, so that some can be discarded before others.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/quern-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._quern_path = path
     return back
 
 
-def discard(df: DataFrame | None) -> None:
-    """Deletes the files of a materialised table that no later plan reads."""
+def discard(df: DataFrame | None, part: str = "") -> None:
+    """Deletes the files of a materialised table (or its part ``by=value``) that no later plan reads."""
     path = getattr(df, "_quern_path", None)
     if path:
+        path = f"{path}/{part}" if part else path
         spark = df.sparkSession
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
