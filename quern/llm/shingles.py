@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
 _SPACE = np.zeros(256, bool)
@@ -24,8 +26,39 @@ def _power_table(n: int) -> np.ndarray:
     return _powers
 
 
+#: Bytes of text whose words are hashed in one step; longer texts are cut at blanks.
+PIECE = 2 << 20
+_CUT = re.compile(rb"[\x20\x09-\x0D]")
+
+
 def word_hashes(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word (a run of bytes other than 0x20 and 0x09-0x0D), and the number of words of each text."""
+    if sum(map(len, raws)) <= PIECE or not raws:
+        return _hashed(raws)
+    hashes, counts, group, size = [], [], [], 0
+    for raw in raws:
+        if len(raw) > PIECE:
+            hashes.append(_hashed(group))
+            group, size, at, pieces = [], 0, 0, []
+            while at < len(raw):
+                blank = _CUT.search(raw, at + PIECE)
+                end = blank.start() if blank else len(raw)
+                pieces.append(_hashed([raw[at:end]])[0])
+                at = end
+            whole = np.concatenate(pieces)
+            hashes.append((whole, np.array([len(whole)])))
+            continue
+        if size + len(raw) > PIECE:
+            hashes.append(_hashed(group))
+            group, size = [], 0
+        group.append(raw)
+        size += len(raw)
+    hashes.append(_hashed(group))
+    hashes, counts = zip(*hashes)
+    return np.concatenate(hashes), np.concatenate(counts)
+
+
+def _hashed(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     joined = b"\n".join(raws) + b"\n"
     buf = np.frombuffer(joined, np.uint8)
     blank = _SPACE[buf]
