@@ -31,6 +31,8 @@ from quern.plans.shared import ship_package
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
+#: Characters of a text that are taken at once.
+LONG = 1 << 20
 #: Odd multipliers of the n-gram hash.
 MIX = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 UND = "und"
@@ -44,20 +46,37 @@ def buckets(texts: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
     """Ends of each text (padded by one blank on either side) and, for each order, the bucket of the n-gram ending at each place."""
     padded = [f" {t.lower()} " for t in texts]
     sizes = np.fromiter(map(len, padded), np.int64, len(padded))
-    points = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    ends = np.cumsum(sizes)
+    return ends, _gram_buckets("".join(padded), ends - sizes)
+
+
+def pieces(text: str, size: int) -> Iterator[list[np.ndarray]]:
+    """What buckets() finds in one text, a stretch of ``size`` places at a time."""
+    padded, reach = f" {text.lower()} ", max(ORDERS) - 1
+    for a in range(0, len(padded), size):
+        before = min(a, reach)
+        yield [ids[before:] for ids in _gram_buckets(padded[a - before : a + size], np.zeros(1, np.int64))]
+
+
+def _gram_buckets(joined: str, starts: np.ndarray) -> list[np.ndarray]:
+    """Blanks stand before every start, whatever text is laid before it; texts have two places or more."""
+    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     found, mixed = [], np.zeros(len(points), np.uint32)
     for k in range(max(ORDERS)):
         shifted = points if k == 0 else np.concatenate([np.full(k, 32, np.uint32), points[:-k]])
+        for j in range(k):
+            shifted[starts + j] = 32
         mixed = (mixed ^ shifted) * np.uint32(MIX[k % 3]) + np.uint32(k)
         if k + 1 in ORDERS:
             found.append(((mixed ^ (mixed >> np.uint32(15))) * np.uint32(MIX[2]) >> np.uint32(16)).astype(np.int32))
-    return np.cumsum(sizes), found
+    return found
 
 
 def sparse_features(text: str, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Buckets and TF-IDF values of one text."""
-    _, found = buckets([text])
-    ids, counts = np.unique(np.concatenate(found), return_counts=True)
+    counts = sum(np.bincount(ids, minlength=BUCKETS) for found in pieces(text, LONG) for ids in found)
+    ids = np.flatnonzero(counts)
+    counts = counts[ids]
     return ids, counts / counts.sum() * idf[ids] * SCALE
 
 
@@ -123,7 +142,12 @@ class LanguageModel:
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         known = np.array([has_letter(t) for t in texts], bool) & bool(self.languages)
         langs, scores = [UND] * len(texts), np.zeros(len(texts))
-        rows = np.flatnonzero(known)
+        rows = np.array([i for i in np.flatnonzero(known) if len(texts[i]) <= LONG], np.int64)
+        for i in np.flatnonzero(known):
+            if len(texts[i]) > LONG:
+                z = sum(np.array([[t[ids].sum(dtype=np.float64) for t in self.table] for ids in found]).sum(0) for found in pieces(texts[i], LONG))
+                p = softmax(z * SCALE / (len(ORDERS) * (len(texts[i].lower()) + 2)) / self.temperature)
+                langs[i], scores[i] = self.languages[int(p.argmax())], p.max()
         if len(rows):
             ends, found = buckets([texts[i] for i in rows])
             starts = np.concatenate([[0], ends[:-1]])
@@ -150,6 +174,13 @@ def document_frequencies(docs: DataFrame, text_col: str) -> tuple[np.ndarray, in
         for batch in batches:
             for part in steps(batch, text_col):
                 texts = [t or "" for t in part.column(text_col).to_pylist()]
+                if len(texts) == 1 and len(texts[0]) > LONG:
+                    seen[:] = False
+                    for found in pieces(texts[0], LONG):
+                        seen[np.concatenate(found)] = True
+                    total[:-1] += seen
+                    total[-1] += 1
+                    continue
                 ends, found = buckets(texts)
                 for a, b in zip([0, *ends[:-1]], ends):
                     seen[:] = False

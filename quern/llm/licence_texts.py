@@ -47,7 +47,7 @@ TEMPLATES = {
     "agpl-3.0": ["GNU Affero General Public License", "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version", "licensed under the GNU Affero General Public License, version 3"],
     "apache-2.0": ["Apache License, Version 2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."],
     "artistic-2.0": ["The Artistic License 2.0"],
-    "bsd-2-clause": ["BSD 2-Clause License", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following two conditions are met"],
+    "bsd-2-clause": ["BSD 2-Clause License"],
     "bsd-3-clause": ["BSD 3-Clause License", "Redistribution and use in source and binary forms, with or without modification, are permitted", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."],
     "bsl-1.0": ["Boost Software License, Version 1.0", "Distributed under the Boost Software License, Version 1.0. See accompanying file LICENSE_1_0.txt or copy at"],
     "cc-by": ["CC BY 4.0", "Creative Commons Attribution 4.0 International License"],
@@ -77,9 +77,9 @@ TEMPLATES = {
 
 #: Labelled notices in the words of those who use a licence.
 NOTICES = {
-    "0bsd": ["available under the zero clause BSD license", "license 0BSD no conditions", "to use copy modify and or distribute for any purpose with or without fee is granted"],
+    "0bsd": ["available under the zero clause BSD license", "bsd zero clause terms", "zero clause license of bsd", "license 0BSD no conditions", "to use copy modify and or distribute for any purpose with or without fee is granted"],
     "afl-3.0": ["covered by the Academic Free License 3.0", "academic free licence afl"],
-    "agpl-3.0": ["distributed under the AGPL version 3", "the server is GNU AGPLv3 affero licensed", "under the affero general public license published by the free software foundation version 3 or any later version", "gnu affero general public license version 3 november 2007", "the affero gpl"],
+    "agpl-3.0": ["distributed under the AGPL version 3", "the server is GNU AGPLv3 affero licensed", "under the affero general public license published by the free software foundation version 3 or any later version", "gnu affero general public license version 3 november 2007", "the affero gpl", "redistribute it under the gnu affero general public license as published either version 3 or at your option any later version"],
     "apache-2.0": ["distributed under the Apache 2.0 license", "the apache software license version 2.0 applies", "see the apache license for the specific language governing permissions", "software distributed on an as is basis without warranties or conditions of any kind either express or implied unless required by applicable law", "you may not use this file except in compliance with the license obtain a copy at apache.org licenses"],
     "artistic-2.0": ["same terms as perl under the artistic license 2.0", "artistic license"],
     "bsd-2-clause": ["simplified BSD license two clause", "the 2 clause BSD license applies", "freebsd license bsd 2 clause"],
@@ -95,8 +95,8 @@ NOTICES = {
     "cddl-1.0": ["under the CDDL 1.0", "common development and distribution license applies"],
     "epl-2.0": ["under the EPL 2.0", "eclipse public license version 2.0 applies", "accompanying materials made available under the eclipse license"],
     "eupl-1.2": ["under the EUPL 1.2 or later", "european union public licence eupl"],
-    "gpl-2.0": ["distributed under the GPL version 2", "GNU GPLv2 licensed kernel module", "under the gnu general public license version 2 of the free software foundation", "the gpl v2.0 applies either version 2 of the license or any later version"],
-    "gpl-3.0": ["distributed under the GPL version 3", "GNU GPLv3 licensed program", "under the gnu general public license version 3 of the free software foundation", "the gpl v3.0 applies either version 3 of the license or any later version", "this work is licensed under the gnu general public license version 3"],
+    "gpl-2.0": ["distributed under the GPL version 2", "GNU GPLv2 licensed kernel module", "under the gnu general public license version 2 of the free software foundation", "the gpl v2.0 applies either version 2 of the license or any later version", "gnu gpl v2.0 only", "general public license v2.0"],
+    "gpl-3.0": ["distributed under the GPL version 3", "GNU GPLv3 licensed program", "under the gnu general public license version 3 of the free software foundation", "the gpl v3.0 applies either version 3 of the license or any later version", "gnu gpl v3.0 only", "general public license v3.0", "this work is licensed under the gnu general public license version 3"],
     "isc": ["the ISC licence applies", "isc license openbsd", "to use copy modify and distribute for any purpose with or without fee provided the copyright notice and this permission notice appear in all copies"],
     "lgpl-2.1": ["the library is LGPL version 2.1", "gnu lesser general public license version 2.1 of the free software foundation", "gnu lgpl 2.1 either version 2.1 of the license"],
     "lgpl-3.0": ["the library is LGPL version 3", "gnu lesser general public license version 3 of the free software foundation", "gnu lgpl 3.0 lesser either version 3 of the license"],
