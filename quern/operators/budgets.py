@@ -28,6 +28,15 @@ def take(rows: DataFrame, budgets: Sequence[int], rule: str = "stop", keys: Sequ
     return rows.filter(left > 0).withColumn("tok_hi", F.least("tok_hi", (F.col("tok_lo") + left - 1).cast("int"))).drop("upto")
 
 
+def exposure(rows: DataFrame, budgets: Sequence[int], keys: Sequence[str] = ()) -> DataFrame:
+    """keys, qid, budget, taken (ranks that fit), cut (whether the first that does not would be truncated)."""
+    order = Window.partitionBy(*keys, "qid").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    cost = F.col("tok_hi") - F.col("tok_lo") + 1
+    rows = rows.withColumn("upto", F.sum(cost).over(order)).withColumn("budget", F.explode(F.array(*[F.lit(b) for b in budgets])))
+    over = (F.col("upto") > F.col("budget")) & (F.col("upto") - cost < F.col("budget"))
+    return rows.groupBy(*keys, "qid", "budget").agg(F.count_if(F.col("upto") <= F.col("budget")).alias("taken"), F.bool_or(over).alias("cut"))
+
+
 def _disjoint(rows: DataFrame, by: Sequence[str], lo: str, hi: str) -> DataFrame:
     """Intervals cut so that those of one group do not overlap; the union stays the same."""
     before = Window.partitionBy(*by).orderBy(lo, hi).rowsBetween(Window.unboundedPreceding, -1)

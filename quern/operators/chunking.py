@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.text import sentences, token_count
+from quern.operators.order_stats import order_statistics
 from quern.plans.shared import ship_package
 
 
@@ -213,5 +214,16 @@ def recursive_chunks(docs: DataFrame, limit: int, separators: tuple[str, ...] =
 
 def chunk_stats(chunks: DataFrame, *by: str) -> DataFrame:
     """Count, least, upper median, mean (2 places) and greatest chunk size by ``by``."""
-    middle = F.expr("element_at(array_sort(collect_list(n_tokens)), cast(count(n_tokens) div 2 as int) + 1)")
-    return chunks.groupBy(*by).agg(F.count("*").alias("n_chunks"), F.min("n_tokens").alias("tokens_min"), middle.alias("tokens_median"), F.round(F.avg("n_tokens"), 2).alias("tokens_mean"), F.max("n_tokens").alias("tokens_max"))
+    sizes = chunks.groupBy(*by).agg(F.count("*").alias("n_chunks"), F.min("n_tokens").alias("tokens_min"), F.round(F.avg("n_tokens"), 2).alias("tokens_mean"), F.max("n_tokens").alias("tokens_max"))
+    middle = order_statistics(chunks, list(by), "n_tokens", {"tokens_median": "n div 2"})
+    both = sizes.join(middle, list(by)) if by else sizes.join(middle)  # without groups, one row each
+    return both.select(*by, "n_chunks", "tokens_min", "tokens_median", "tokens_mean", "tokens_max")
+
+
+def segmentation_stats(broken: DataFrame, limit: int, *by: str) -> DataFrame:
+    """Documents, sentences, gaps between sentences of a document, breaks, and sentences over ``limit`` tokens, by ``by``.
+
+    broken: the rows of semantic_breaks() with n_tokens; sums combine before the shuffle.
+    """
+    documents = broken.groupBy(*by, "doc_id").agg(F.count("*").alias("s"), F.count_if("breaks").alias("b"), F.count_if(F.col("n_tokens") > limit).alias("o"))
+    return documents.groupBy(*by).agg(F.count("*").alias("n_documents"), F.sum("s").alias("n_sentences"), F.sum(F.col("s") - 1).alias("n_gaps"), F.sum("b").alias("n_breakpoints"), F.sum("o").alias("n_over_window"))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from quern.plans.shared import ship_package
 
 #: The judge's instructions, the question's layout, and the chat layouts that models were trained on.
 RUBRICS = {
@@ -46,6 +51,33 @@ def prompts(items: DataFrame, rubric: str = "minimal", chat: str | None = None)
     return out.withColumn("rendered", F.concat(F.lit(opening), F.col("system"), F.lit(middle), F.col("user"), F.lit(closing)))
 
 
+def infer(rows: DataFrame, load: Callable[[], Any], limit: int, text_col: str = "rendered") -> DataFrame:
+    """rows with n_prompt_tokens, logits and argmax_token from a model that each Python worker loads once.
+
+    load() returns an object with ``tokens(text) -> list[int]`` and ``logits(list[list[int]]) -> list[list[float]]`` (one row of
+    the vocabulary a prompt) and ``text(id) -> str``.  A prompt of more than ``limit`` tokens raises: prompts are never cut.
+    A, B must be single tokens of the model.  Rows stay in their partitions; a task asks the model once a batch.
+    """
+    ship_package(rows.sparkSession)
+    schema = T.StructType([*rows.schema.fields, T.StructField("n_prompt_tokens", T.IntegerType()), T.StructField("logits", T.ArrayType(T.DoubleType())), T.StructField("argmax_token", T.StringType()), T.StructField("id_a", T.IntegerType()), T.StructField("id_b", T.IntegerType())])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = load()
+        letters = [model.tokens(v) for v in ("A", "B")]
+        if any(len(ids) != 1 for ids in letters):
+            raise ValueError("the verdict letters are not single tokens of this model")
+        for f in frames:
+            ids = [model.tokens(t) for t in f[text_col]]
+            for prompt in ids:
+                if len(prompt) > limit:
+                    raise ValueError(f"a prompt of {len(prompt)} tokens is over the limit of {limit}")
+            found = [list(map(float, r)) for r in model.logits(ids)] if len(f) else []
+            top = [model.text(max(range(len(r)), key=r.__getitem__)) for r in found]
+            yield f.assign(n_prompt_tokens=[len(i) for i in ids], logits=found, argmax_token=top, id_a=letters[0][0], id_b=letters[1][0])
+
+    return rows.mapInPandas(run, schema)
+
+
 def read_logits(rows: DataFrame, logits: str = "logits", id_a: int = 3, id_b: int = 5, argmax_token: str = "argmax_token") -> DataFrame:
     """rows with z, logp_a, logp_b, mass_ab and compliant, by a stable log of summed exponentials."""
     a, b = F.element_at(logits, id_a + 1), F.element_at(logits, id_b + 1)
@@ -60,6 +92,12 @@ def todo(wanted: DataFrame, done: DataFrame, key: Sequence[str] = ("model", "rub
     return wanted.join(done.select(*key).distinct(), list(key), "left_anti")
 
 
+def incomplete(records: DataFrame) -> DataFrame:
+    """model, rubric, n_incomplete: items that lack one of the two orders and so make no swap pair."""
+    seen = records.groupBy("model", "rubric", "item_id").agg(F.countDistinct("order").alias("k"))
+    return seen.groupBy("model", "rubric").agg(F.count_if(F.col("k") < 2).alias("n_incomplete"))
+
+
 def swap_pairs(records: DataFrame) -> DataFrame:
     """One row for each item judged in both orders; items with a repeated order raise, incomplete ones are left out.
 

@@ -18,6 +18,10 @@ from quern.functions.text import WORD, terms, tokens
 from quern.plans.shared import ship_package
 
 
+#: Tokens of a stretch of a document, in which places and chunks meet.
+STRETCH = 128
+
+
 def query_terms(questions: DataFrame) -> DataFrame:
     """One row for each distinct term of a question: qid, doc_id, term, qtf."""
     return questions.select("qid", "doc_id", F.explode(terms(F.col("query"))).alias("term")).groupBy("qid", "doc_id", "term").agg(F.count("*").alias("qtf"))
@@ -30,7 +34,7 @@ def document_terms(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def word_counts(docs: DataFrame, chunks: DataFrame, text_col: str = "text") -> DataFrame:
-    """chunks with dl, the words of each: the difference of two running counts of its document."""
+    """chunks with dl, the words of each: those among its document's tokens from tok_lo to tok_hi."""
     flags = F.transform(tokens(F.col(text_col)), lambda t: F.when(t.rlike(f"^{WORD}$"), 1).otherwise(0))
     flagged = docs.select("doc_id", flags.alias("_flags"))
     inside = F.slice("_flags", F.col("tok_lo") + 1, F.col("tok_hi") - F.col("tok_lo") + 1)
@@ -40,8 +44,10 @@ def word_counts(docs: DataFrame, chunks: DataFrame, text_col: str = "text") -> D
 def _matches(docs: DataFrame, chunks: DataFrame, asked: DataFrame, keys: Sequence[str], text_col: str) -> DataFrame:
     """Term frequencies of asked terms only: keys, qid, doc_id, chunk_idx, term, tf."""
     hits = document_terms(docs, text_col).join(asked.select("qid", "doc_id", "term"), ["doc_id", "term"])
-    spans = chunks.select(*keys, "doc_id", "chunk_idx", "tok_lo", "tok_hi")
-    met = hits.join(spans, "doc_id").filter("tok_idx BETWEEN tok_lo AND tok_hi")
+    # a hit meets only the chunks that reach into its stretch of the document, not all of them
+    stretch = lambda c: F.expr(f"{c} div {STRETCH}")
+    spans = chunks.select(*keys, "doc_id", "chunk_idx", "tok_lo", "tok_hi", F.explode(F.sequence(stretch("tok_lo"), stretch("tok_hi"))).alias("stretch"))
+    met = hits.withColumn("stretch", stretch("tok_idx")).join(spans, ["doc_id", "stretch"]).filter("tok_idx BETWEEN tok_lo AND tok_hi")
     return met.groupBy(*keys, "qid", "doc_id", "chunk_idx", "term").agg(F.count("*").alias("tf"))
 
 

@@ -210,4 +210,4 @@ def budget_utilization(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.groupBy("size", "budget").agg(F.round(F.avg("tokens") / F.col("budget"), 6).alias("utilization"), F.round(F.avg("chunks"), 6).alias("mean_chunks"))
 
 
-from quern.plans import catalog_judge, catalog_more, catalog_reports  # noqa: E402, F401  (they register theirs)
+from quern.plans import catalog_grid, catalog_judge, catalog_more, catalog_reports  # noqa: E402, F401  (they register theirs)

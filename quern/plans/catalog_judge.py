@@ -14,11 +14,13 @@ from quern.plans.catalog import query
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """item_id, category, subset, prompt, chosen, rejected, c, r (the two ids)."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source").join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id")
-    docs = docs.withColumn("n", F.row_number().over(Window.partitionBy("lang", "quality").orderBy("doc_id")))
-    good = docs.filter("quality = 1").select("lang", "n", F.col("doc_id").alias("c"), F.col("text").alias("chosen"), F.col("source").alias("subset"))
-    bad = docs.filter("quality = 0").select("lang", "n", F.col("doc_id").alias("r"), F.col("text").alias("rejected"))
-    rows = good.join(bad, ["lang", "n"])
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
+    # only ids are numbered; texts join afterwards
+    named = docs.select("doc_id", "lang").join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id")
+    named = named.withColumn("n", F.row_number().over(Window.partitionBy("lang", "quality").orderBy("doc_id")))
+    good = named.filter("quality = 1").select("lang", "n", F.col("doc_id").alias("c"))
+    bad = named.filter("quality = 0").select("lang", "n", F.col("doc_id").alias("r"))
+    rows = good.join(bad, ["lang", "n"]).join(docs.select(F.col("doc_id").alias("c"), F.col("text").alias("chosen"), F.col("source").alias("subset")), "c").join(docs.select(F.col("doc_id").alias("r"), F.col("text").alias("rejected")), "r")
     return rows.select(F.concat_ws("/", "lang", F.col("n").cast("string")).alias("item_id"), F.col("lang").alias("category"), "subset", F.concat(F.lit("Write about {"), F.col("lang"), F.lit("}.")).alias("prompt"), "chosen", "rejected", "c", "r")
 
 

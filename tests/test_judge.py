@@ -186,3 +186,41 @@ def test_probe_intervals_take_every_resample_and_stratum(spark):
     wanted = np.quantile([accuracy(x[i]) - accuracy(x[i][:, 1:]) for i in draws], [0.025, 0.975])
     joint = next(r for r in got if r["category"] == "a" and r["spec"] == "joint")
     assert np.allclose([joint["lo"], joint["hi"]], wanted, atol=1e-9)
+
+
+def test_inference_never_cuts_a_prompt(spark):
+    class Double:
+        """Stands for a model: a token a character, the verdict's logit by the prompt's length."""
+
+        def tokens(self, text):
+            return [ord(c) for c in text]
+
+        def logits(self, prompts):
+            return [[float(i == (65 if len(p) % 2 else 66)) for i in range(128)] for p in prompts]
+
+        def text(self, i):
+            return chr(i)
+
+    rows = spark.createDataFrame([("i", "abc"), ("j", "abcd")], "item_id string, rendered string")
+    got = {r["item_id"]: r for r in J.infer(rows, Double, 4).collect()}
+    assert (got["i"]["argmax_token"], got["j"]["argmax_token"]) == ("A", "B") and got["i"]["n_prompt_tokens"] == 3 and got["i"]["id_a"] == 65
+    with pytest.raises(Exception, match="over the limit"):
+        J.infer(rows, Double, 3).collect()
+    assert J.infer(rows.limit(0), Double, 3).count() == 0
+
+
+def test_incomplete_items_are_counted(spark):
+    rows = [("m", "r", o, i) for i in "abc" for o in J.ORDERS if (i, o) != ("b", J.ORDERS[1])]
+    assert J.incomplete(spark.createDataFrame(rows, "model string, rubric string, `order` string, item_id string")).first()["n_incomplete"] == 1
+
+
+def test_probes_of_many_designs_are_those_of_each():
+    r = np.random.default_rng(3)
+    x = r.normal(size=(4, 60, 2)) + [0.7, -0.2]
+    every = G.conditional_logits(x)
+    for k in range(4):
+        assert every[k] == pytest.approx(G.conditional_logit(x[k]), abs=1e-8)
+        p = 1 / (1 + np.exp(-x[k] @ every[k]))  # the penalised likelihood is flat there
+        assert np.abs(x[k].T @ (1 - p) - G.PROBE_RIDGE * every[k]).max() < 1e-6
+    with pytest.raises(ValueError):
+        G.conditional_logit(np.zeros((0, 2)))

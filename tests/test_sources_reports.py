@@ -162,3 +162,39 @@ def test_stream_of_pairs(spark, tmp_path):
     q.awaitTermination(120)
     got = spark.table("pairs_out").collect()
     assert [(r["item_id"], r["s"], r["b"], r["mass_min"]) for r in got] == [("i", 1.0, 2.0, 0.8)]
+
+
+def test_order_statistics_are_those_of_the_sorted_values(spark):
+    from quern.operators.order_stats import order_statistics
+
+    rows = [("a", v) for v in (5, 1, 1, 9, 2, 2, 2)] + [("b", 7), ("b", None), ("c", None)]
+    got = {r["g"]: (r["low"], r["mid"], r["high"]) for r in order_statistics(spark.createDataFrame(rows, "g string, v long"), ["g"], "v", {"low": "0", "mid": "n div 2", "high": "9 * n div 10"}).collect()}
+    assert got == {"a": (1, 2, 9), "b": (7, 7, 7)}
+
+
+def test_summaries_beside_their_sidecar(spark, tmp_path):
+    R.save_summary(spark.createDataFrame([(2, 0.5), (1, 0.25)], "budget int, recall double"), f"file://{tmp_path}/s", {"a": 1})
+    assert [r["value"] for r in spark.read.text(f"file://{tmp_path}/s").collect()] == ['{"budget":1,"recall":0.25}', '{"budget":2,"recall":0.5}']
+    assert spark.read.text(f"file://{tmp_path}/s.meta").first()["value"] == '{"a": 1}'
+    assert R.repository_state(str(tmp_path)) == "unknown" and R.run_metadata(judge="m")["judge"] == "m"
+
+
+def test_registry(spark):
+    from quern import registry
+    from quern.plans import bench
+
+    docs = spark.createDataFrame([(1, "One two three. Four five six seven. Eight nine."), (2, ""), (3, "Alpha beta.")], "doc_id long, text string")
+    for name in registry.CHUNKERS:
+        chunks = registry.make_chunker(name, 4)(docs).collect()
+        assert {c["doc_id"] for c in chunks} == {1, 3} and all(c["n_tokens"] == c["tok_hi"] - c["tok_lo"] + 1 <= 4 for c in chunks), name
+    assert registry.make_tokenizer("regex")(docs).count() == 15
+    for kind, name in ((registry.make_chunker, "x"), (registry.make_tokenizer, "x"), (registry.make_retriever, "x")):
+        with pytest.raises(ValueError, match="unknown"):
+            kind(name, 4) if kind is registry.make_chunker else kind(name)
+    with pytest.raises(ValueError):
+        registry.make_chunker("recursive", 8, 2)
+    with pytest.raises(ValueError, match="vocabulary"):
+        registry.make_tokenizer("bpe")(docs)
+    rows = registry.grid(docs, bench.questions(docs), [("fixed", 4, 0), ("sentence", 6, 0)], list(registry.RETRIEVERS)).collect()
+    assert {(r["chunker"], r["retriever"]) for r in rows} == {(c, r) for c in ("fixed", "sentence") for r in registry.RETRIEVERS}
+    assert all(r["rank"] >= 1 for r in rows) and {r["qid"] for r in rows} == {1, 3}
