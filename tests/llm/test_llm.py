@@ -188,6 +188,42 @@ def test_near_vectors_recall_and_components(spark):
     assert near_vectors(vectors(spark, [])).count() == 0
 
 
+def test_spanning_links_tie_what_links_tie():
+    from quern.llm.vectors import spanning_links
+
+    r = np.random.default_rng(2)
+    for n, share in ((1, 0.5), (30, 0.03), (40, 0.2)):
+        hit = np.triu(r.random((n, n)) < share, 1)
+        hit |= hit.T
+        ends = spanning_links(hit)
+        assert all(hit[a, b] for a, b in ends)
+        label = np.arange(n)
+        for _ in range(n):
+            label = np.minimum(label, np.where(hit, label[None, :], n).min(1))
+        tree = np.arange(n)
+        for _ in range(n):
+            for a, b in ends:
+                tree[a] = tree[b] = min(tree[a], tree[b])
+        assert (tree == label).all() and len(ends) == n - len(set(label.tolist()))
+
+
+@pytest.mark.parametrize("block", [2048, 7])
+def test_near_vectors_count_each_link_once(spark, block):
+    """Copies, a large group and split cells: counts and components against brute force over the links that were found."""
+    from quern.llm.vectors import near_vectors
+
+    r = np.random.default_rng(9)
+    centre = r.normal(size=(3, 16))
+    rows = [(i, (centre[i % 3] + r.normal(size=16) * 0.03).tolist(), 1) for i in range(90)] + [(200 + i, centre[0].tolist(), 1) for i in range(20)] + [(300, centre[0].tolist(), 2), (None, centre[0].tolist(), 1), (301, None, 1), (302, [0.0] * 16, 1)]
+    got = {x["vec_id"]: x for x in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long"), block=block).collect()}
+    assert len(got) == len(rows)
+    able = [(i, np.array(v)) for i, v, label in rows if label == 1 and i is not None and v is not None and any(v)]
+    for i, v in able:
+        links = [k for k, w in able if k != i and v @ w / np.linalg.norm(v) / np.linalg.norm(w) >= 0.93]
+        assert got[i]["n_links"] == len(links) and got[i]["component_id"] == min([i, *links])
+    assert all(got[i]["n_links"] == 0 for i in (300, 301, 302))
+
+
 def test_lattice_decoding_is_nearest():
     from quern.llm.lattice import NEIGHBOURS, decode, probes
 
