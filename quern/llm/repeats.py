@@ -8,12 +8,12 @@ segment.  Equal windows have equal minimizers, so they meet; the rest follows fr
    filter of fixed size; the other segments are never shuffled.
 2. Equal segments collapse to the earliest, first inside each step of a task (so a frequent segment is one row a step),
    then by minimizer; the later ones are removed whole.
-3. Different segments of one minimizer are aligned on it.  Each is trimmed to the longest stretch that it can share with
-   any other of them, and equal stretches collapse again.  What is left goes, together with other minimizers' segments,
-   into a collection of bounded size, whose Burrows-Wheeler transform and common prefixes are built column by
-   column (``bcr``).  Neighbouring rows with a common prefix of ``length`` or more are equal windows; all but the
-   earliest are removed.  A minimizer with more than ``hot`` different segments is dealt out again, window by window,
-   and its equal windows are matched by 128-bit content hashes, so no collection grows with a frequent passage.
+3. Different segments of one minimizer are aligned on it, and each is trimmed to the longest stretch that it can share with
+   any other of them.  All that is left goes, together with other minimizers' segments, into a collection of bounded size, whose
+   Burrows-Wheeler transform and common prefixes are built column by column (``bcr``).  Neighbouring rows with a common
+   prefix of ``length`` or more are equal windows; all but the earliest are removed.  A minimizer with more than ``hot`` different
+   segments is dealt out again, window by window, and its equal windows are matched by 128-bit content hashes, so no
+   collection grows with a frequent passage.
 4. The removed stretches of a document are united and cut out.
 
 Order: smaller id first; rows that share an id are ordered by a hash of their text, and rows equal in both are
@@ -242,24 +242,8 @@ def _collections_pass(length: int):
         begin = (gram - left)[some]
         pieces = [raw[i][a : g + r] for i, a, g, r in zip(some.tolist(), begin.tolist(), gram[some].tolist(), right[some].tolist())]
         doc, text, at = doc[some], text[some], start[some] + begin
-        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        # equal stretches: the earliest stays, the others are removed whole
-        names = np.fromiter(map(xxhash.xxh3_64_intdigest, pieces), np.uint64, len(pieces))
-        order = np.lexsort([at, text, doc, names, key[some]])
-        same = np.zeros(len(order), bool)
-        same[1:] = (names[order[1:]] == names[order[:-1]]) & (key[some][order[1:]] == key[some][order[:-1]])
-        later, first = order[same], order[~same]
-        if len(later):
-            yield pd.DataFrame({"doc_id": doc[later], "text_hash": text[later], "start": at[later], "stop": at[later] + size[later]})
-        k = key[some][first]
-        kin = np.zeros(len(first), bool)
-        kin[1:] = k[1:] == k[:-1]
-        kin[:-1] |= k[1:] == k[:-1]
-        first = first[kin]
-        if not len(first):
-            return
-        group, string, offset = repeated([pieces[i] for i in first.tolist()], length)
-        doc, text, at = doc[first][string], text[first][string], at[first][string] + offset
+        group, string, offset = repeated(pieces, length)
+        doc, text, at = doc[string], text[string], at[string] + offset
         order = np.lexsort([at, text, doc, group])
         again = order[1:][group[order[1:]] == group[order[:-1]]]
         if len(again):
