@@ -41,8 +41,9 @@ from quern.plans.shared import discard, free_shuffles, materialise, ship_package
 GRAM = 32
 #: Bits of the filter of repeated minimizers: a fixed 8 MB at any size of input.
 FILTER_BITS = 1 << 26
-#: Segment bytes of one collection, and segments of one minimizer beyond which it is dealt out by windows.
-COLLECTION = 3 << 20
+#: Segment bytes of one collection (its arrays stay in a core's cache), and segments of one minimizer beyond which it is dealt
+#: out by windows.
+COLLECTION = 1 << 19
 HOT = 10_000
 _LAST = (1 << 63) - 1
 
