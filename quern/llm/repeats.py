@@ -236,8 +236,13 @@ def _collections_pass(length: int):
         key, gram, raw = rows["key"].to_numpy(), rows["gram"].to_numpy(), rows["bytes"].tolist()
         doc, text, start = (rows[c].to_numpy() for c in ("doc_id", "text_hash", "start"))
         right = _shared_reach(key, [b[g:] for b, g in zip(raw, gram.tolist())], length + 1)
-        left = _shared_reach(key, [b[:g][::-1] for b, g in zip(raw, gram.tolist())], length + 1)
-        some = np.flatnonzero(left + right >= length)
+        # what stands before the minimizer cannot make up for too short a share after it
+        able = np.flatnonzero(gram + right >= length)
+        if not len(able):
+            return
+        left = np.zeros(len(raw), np.int64)
+        left[able] = _shared_reach(key[able], [raw[i][: gram[i]][::-1] for i in able.tolist()], length + 1)
+        some = able[left[able] + right[able] >= length]
         if not len(some):
             return
         begin = (gram - left)[some]
