@@ -39,6 +39,8 @@ from quern.plans.shared import discard, free_shuffles, materialise, ship_package
 
 #: Bytes of a minimizer: a power of two.
 GRAM = 32
+#: Bytes of text whose minimizers are sought at once.
+PIECE = 1 << 16
 #: Bits of the filter of repeated minimizers: a fixed 8 MB at any size of input.
 FILTER_BITS = 1 << 26
 #: Segment bytes of one collection (its arrays stay in a core's cache), and segments of one minimizer beyond which it is dealt
@@ -49,41 +51,68 @@ _LAST = (1 << 63) - 1
 
 
 def segments(raws: list[bytes], length: int) -> tuple[np.ndarray, ...]:
-    """(text, start, windows, key, gram): runs of window starts that share a minimizer, a hash of that k-gram, and its place in the segment."""
-    none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    sizes = np.fromiter(map(len, raws), np.int64, len(raws))
-    buf = np.frombuffer(b"".join(raws), np.uint8)
-    if len(buf) < length:
-        return none
-    h = buf.astype(np.uint64) + np.uint64(1)
+    """(text, start, windows, key, gram): runs of window starts that share a minimizer, a hash of that k-gram, and its place in the segment.
+
+    Texts are taken in pieces of bounded size, so that a step's arrays stay in cache and a long text needs no more memory than others;
+    runs that a cut divides are put together again.
+    """
+    found, held, size = [], [], 0
+    for t, raw in enumerate(raws):
+        for at in range(0, len(raw) - length + 1, PIECE):
+            piece = raw[at : at + PIECE + length - 1]
+            if held and size + len(piece) > PIECE:
+                found.append(_runs(held, length))
+                held, size = [], 0
+            held.append((t, at, piece))
+            size += len(piece)
+    if not held:
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    found.append(_runs(held, length))
+    text, start, windows, key, gram = (np.concatenate(c) for c in zip(*found))
+    whole = np.concatenate([[True], (text[1:] != text[:-1]) | (start[1:] + gram[1:] != start[:-1] + gram[:-1])])
+    if not whole.all():
+        windows = np.add.reduceat(windows, np.flatnonzero(whole))
+        text, start, key, gram = text[whole], start[whole], key[whole], gram[whole]
+    return text, start, windows, key, gram
+
+
+def _runs(pieces: list[tuple[int, int, bytes]], length: int) -> tuple[np.ndarray, ...]:
+    """``segments`` of pieces (text, offset, bytes), each of ``length`` bytes or more."""
+    sizes = np.fromiter((len(p) for _, _, p in pieces), np.int64, len(pieces))
+    ends = np.cumsum(sizes)
+    h = np.frombuffer(b"".join([p for _, _, p in pieces]), np.uint8).astype(np.uint64)
+    h += np.uint64(1)
     span, power = 1, 0x9E3779B97F4A7C15
     while span < GRAM:
-        h = h[:-span] * np.uint64(power) + h[span:]
+        longer = h[:-span] * np.uint64(power)
+        longer += h[span:]
+        h = longer
         power = power * power % (1 << 64)
         span *= 2
     h = mix(h)
     # hash above place: the minimum is the least hash, the leftmost of equals
-    least = (h & ~np.uint64((1 << 28) - 1)) | np.arange(len(h), dtype=np.uint64)
+    least = h & ~np.uint64((1 << 28) - 1)
+    least |= np.arange(len(h), dtype=np.uint64)
     width, span = length - GRAM + 1, 1
     while span * 2 <= width:
         least = np.minimum(least[:-span], least[span:])
         span *= 2
     if span < width:
         least = np.minimum(least[: len(least) - (width - span)], least[width - span :])
-    ends = np.cumsum(sizes)
-    start = np.arange(len(least))
-    text = np.searchsorted(ends, start, side="right")
-    valid = start + length <= ends[text]
-    first = valid.copy()
-    first[1:] &= ~valid[:-1] | (least[1:] != least[:-1]) | (text[1:] != text[:-1])
+    # windows that reach beyond their piece belong to none
+    valid = np.ones(len(least) + 1, bool)
+    for e in ends[:-1].tolist():
+        valid[e - length + 1 : e] = False
+    valid[-1] = False
+    first = valid[:-1].copy()
+    first[1:] &= ~valid[:-2] | (least[1:] != least[:-1])
     begin = np.flatnonzero(first)
-    if not len(begin):
-        return none
-    good = np.cumsum(valid)
-    windows = np.append(good[begin[1:] - 1], good[-1]) - (good[begin] - 1)
-    own = text[begin]
+    # a run ends where the next begins, or where its piece does
+    own = np.searchsorted(ends, begin, side="right")
+    windows = np.minimum(np.append(begin[1:], len(least)), ends[own] - length + 1) - begin
     gram = (least[begin] & np.uint64((1 << 28) - 1)).astype(np.int64)
-    return own, begin - (ends - sizes)[own], windows, h[gram], gram - begin
+    text, offset = np.array([t for t, _, _ in pieces], np.int64), np.array([a for _, a, _ in pieces], np.int64)
+    return text[own], begin - (ends - sizes)[own] + offset[own], windows, h[gram], gram - begin
 
 
 def _raws(part: pa.RecordBatch) -> list[bytes]:
