@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.operators import resampling as S
 from quern.plans.shared import ship_package
 
 #: The judge's instructions, the question's layout, and the chat layouts that models were trained on.
@@ -131,6 +132,17 @@ def summary(pairs: DataFrame, *by: str) -> DataFrame:
     )
 
 
+def accuracies(pairs: DataFrame, *keep: str) -> DataFrame:
+    """keep, raw_acc, sym_acc, sym_minus_raw of each pair: what the summary's intervals resample."""
+    return pairs.select(*keep, F.col("raw_mean").alias("raw_acc"), F.col("sym").alias("sym_acc"), (F.col("sym") - F.col("raw_mean")).alias("sym_minus_raw"))
+
+
+def summary_intervals(pairs: DataFrame, *by: str, replicates: int = 10_000) -> DataFrame:
+    """by, metric, n, mean, lo, hi, significant for the three accuracies of the standard block."""
+    long = accuracies(pairs, *by, "item_id").unpivot([*by, "item_id"], ["raw_acc", "sym_acc", "sym_minus_raw"], "metric", "value")
+    return S.by_group(long, [*by, "metric"], "item_id", lambda f: S.mean_interval(f["value"].to_numpy(), replicates))
+
+
 def stratum_stats(pairs: DataFrame, *by: str) -> DataFrame:
     return pairs.groupBy(*by).agg(
         F.count("*").alias("n_items"), F.avg("sym").alias("sym_acc"), F.avg("raw_mean").alias("raw_acc"), _share(F.col("flip")).alias("flip_rate"), F.percentile("b", F.lit(0.5)).alias("b_median"),

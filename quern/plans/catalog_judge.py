@@ -138,8 +138,7 @@ def loo_group_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{_LOO}, cr AS (SELECT *, (CASE WHEN round(z_cf - b_hat, 9) > 0 THEN 1.0 WHEN round(z_cf - b_hat, 9) = 0 THEN 0.5 ELSE 0.0 END + CASE WHEN round(z_rf - b_hat, 9) < 0 THEN 1.0 WHEN round(z_rf - b_hat, 9) = 0 THEN 0.5 ELSE 0.0 END) / 2 AS score FROM es)
 SELECT estimator, coalesce(category, 'all') AS category, count(*) AS n_items, round(avg(score), 6) AS acc FROM cr GROUP BY GROUPING SETS ((estimator), (estimator, category))""")
 def correction_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = G.loo_estimates(pairs(spark, sf_dir)).withColumns({"b_hat": F.col("b_hat"), "z_cf": F.round(F.col("z_cf") - F.col("b_hat"), 9), "z_rf": F.round(F.col("z_rf") - F.col("b_hat"), 9)}).withColumn("b_hat", F.lit(0.0))
-    named = G.corrected(rows).withColumn("category", F.explode(F.array(F.lit("all"), F.col("category"))))
+    named = G.corrected(G.settled(G.loo_estimates(pairs(spark, sf_dir)))).withColumn("category", F.explode(F.array(F.lit("all"), F.col("category"))))
     return rounded(named.groupBy("estimator", "category").agg(F.count("*").alias("n_items"), F.avg("score").alias("acc")))
 
 
@@ -182,14 +181,59 @@ def compliance_gap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(S.by_group(rows, ["model"], "item_id", lambda f: S.two_sample_interval(f.loc[f["compliant_both"], "sym"].to_numpy(), f.loc[~f["compliant_both"], "sym"].to_numpy())))
 
 
-@query(f"""{PAIRS}, pl AS (SELECT category, sym, row_number() OVER (PARTITION BY category ORDER BY item_id) - 1 AS j, count(*) OVER (PARTITION BY category) AS n FROM pa),
-dr AS (SELECT category, r, ((((r * n + j + 1) * 1103515245 + 12345) % 2147483648) >> 8) % n AS p FROM pl, (SELECT unnest(range(50)) AS r)),
-me AS (SELECT dr.category, r, avg(sym) AS m FROM dr JOIN pl ON pl.category = dr.category AND pl.j = dr.p GROUP BY ALL)
-SELECT category, n, round(mean, 6) AS mean, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM me JOIN (SELECT category, count(*) AS n, avg(sym) AS mean FROM pa GROUP BY 1) USING (category) GROUP BY ALL""")
+def lcg_sql(rows: str, keys: list[str], order: str, values: list[str], replicates: int = 50) -> str:
+    """Common table expressions placed, states and drawn (drawn rows: keys, r, values)."""
+    by, each = ", ".join(keys), ", ".join(values)
+    on = " AND ".join([*(f"states.{k} = placed.{k}" for k in keys), f"placed.j = ((x >> 8) * 8388608 + (((x * 1103515245 + 12345) % 2147483648) >> 8)) % states.n"])
+    return f"""placed AS (SELECT {by}, {each}, row_number() OVER (PARTITION BY {by} ORDER BY {order}) - 1 AS j, count(*) OVER (PARTITION BY {by}) AS n FROM {rows}),
+states AS (SELECT {by}, n, r, (((r * n + j + 1) % 2147483648) * 1103515245 + 12345) % 2147483648 AS x FROM placed, (SELECT unnest(range({replicates})) AS r)),
+drawn AS (SELECT {', '.join(f'states.{k}' for k in keys)}, r, {each} FROM states JOIN placed ON {on})"""
+
+
+_LO_HI = "round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi"
+
+
+@query(f"""{PAIRS}, {lcg_sql('pa', ['category'], 'item_id', ['sym'])},
+me AS (SELECT category, r, avg(sym) AS m FROM drawn GROUP BY ALL)
+SELECT category, n, round(mean, 6) AS mean, {_LO_HI} FROM me JOIN (SELECT category, count(*) AS n, avg(sym) AS mean FROM pa GROUP BY 1) USING (category) GROUP BY ALL""")
 def bootstrap_lcg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(S.lcg_bootstrap(pairs(spark, sf_dir).select("category", "item_id", "sym"), ["category"], "item_id", "sym"))
 
 
+_ACCURACIES = "(SELECT category, item_id, (raw_cf + raw_rf) / 2 AS raw_acc, sym AS sym_acc, sym - (raw_cf + raw_rf) / 2 AS sym_minus_raw FROM pa)"
+_THREE = "avg(raw_acc) AS raw_acc, avg(sym_acc) AS sym_acc, avg(sym_minus_raw) AS sym_minus_raw"
+
+
+@query(f"""{PAIRS}, ac AS {_ACCURACIES}, {lcg_sql('ac', ['category'], 'item_id', ['raw_acc', 'sym_acc', 'sym_minus_raw'])},
+me AS (UNPIVOT (SELECT category, r, {_THREE} FROM drawn GROUP BY ALL) ON raw_acc, sym_acc, sym_minus_raw INTO NAME metric VALUE m),
+wh AS (UNPIVOT (SELECT category, count(*) AS n, {_THREE} FROM ac GROUP BY 1) ON raw_acc, sym_acc, sym_minus_raw INTO NAME metric VALUE mean)
+SELECT category, metric, n, round(mean, 6) AS mean, {_LO_HI} FROM me JOIN wh USING (category, metric) GROUP BY ALL""")
+def summary_lcg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary's accuracies and their paired difference, intervals by draws that SQL repeats."""
+    return rounded(S.lcg_means(J.accuracies(pairs(spark, sf_dir), "category", "item_id"), ["category"], "item_id", ["raw_acc", "sym_acc", "sym_minus_raw"]))
+
+
+@query()
+def summary_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary's accuracies and their paired difference, 10,000 resamples."""
+    return rounded(J.summary_intervals(pairs(spark, sf_dir), "category"))
+
+
+@query(f"""{PAIRS}, pb AS (SELECT 'synthetic' AS model, item_id, sym, compliant_both FROM pa), {lcg_sql('pb', ['model', 'compliant_both'], 'item_id', ['sym'])},
+me AS (SELECT model, r, avg(sym) FILTER (compliant_both) - avg(sym) FILTER (NOT compliant_both) AS m FROM drawn GROUP BY ALL)
+SELECT model, n_true, n_false, round(mean, 6) AS mean, {_LO_HI} FROM me JOIN (SELECT model, count(*) FILTER (compliant_both) AS n_true, count(*) FILTER (NOT compliant_both) AS n_false, avg(sym) FILTER (compliant_both) - avg(sym) FILTER (NOT compliant_both) AS mean FROM pb GROUP BY 1) USING (model) GROUP BY ALL""")
+def compliance_gap_lcg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symmetrised accuracy of compliant items minus the rest, an unpaired interval by draws that SQL repeats."""
+    rows = J.swap_pairs(records(spark, sf_dir)).select("model", "item_id", "sym", "compliant_both")
+    return rounded(S.lcg_gap(rows, ["model"], "compliant_both", "item_id", "sym"))
+
+
+@query()
+def ladder_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The correction ladder with its regression rung, intervals against no correction and against the oracle, recovered share."""
+    return rounded(G.ladder_intervals(G.length_columns(pairs(spark, sf_dir))))
+
+
 @query("""WITH c AS (SELECT source, count(*) AS n FROM documents GROUP BY 1), e AS (SELECT *, 600 * n / sum(n) OVER () AS x FROM c),
 f AS (SELECT *, floor(x) AS fl, 600 - sum(floor(x)) OVER () AS short, row_number() OVER (ORDER BY x - floor(x) DESC, source) AS k FROM e)
 SELECT source, n AS count, (fl + CASE WHEN k <= short THEN 1 ELSE 0 END)::INT AS quota FROM f""")

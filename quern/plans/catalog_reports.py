@@ -10,6 +10,7 @@ from quern.operators import chunking as C
 from quern.operators import judge as J
 from quern.operators import reports as P
 from quern.operators import retrieval as R
+from quern.operators.order_stats import order_statistics
 from quern.plans import bench
 from quern.plans.catalog import SENTENCES, TOKENS, base, chunk_cte, query, scores_cte, taken_cte
 from quern.plans.catalog_judge import rounded
@@ -51,6 +52,29 @@ def loss_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(P.loss_strata(runs(spark, sf_dir)).groupBy("budget", "stratum").agg(F.count("*").alias("n"), F.avg("d").alias("delta"), F.avg("gold").alias("gold")))
 
 
+_STRATA = "CASE WHEN d <= -0.25 AND a = 0 THEN 'miss' WHEN d <= -0.25 THEN 'partial' WHEN d >= 0.25 THEN 'win' ELSE 'within' END AS stratum"
+
+
+@query(f"""{RUNS}, x AS (SELECT *, {_STRATA} FROM de), by_corpus AS (SELECT budget, stratum, corpus, count(*) AS k FROM x GROUP BY ALL),
+listed AS (SELECT budget, stratum, string_agg(corpus || ' ' || k, ', ' ORDER BY k DESC, corpus) AS corpora FROM by_corpus GROUP BY ALL)
+SELECT budget, stratum, count(*) AS n, list_sort(list(gold))[(count(*) // 2 + 1)::INT] AS gold_median, 0.0::DOUBLE AS multi, round(avg(CASE WHEN a > 0 THEN 1.0 ELSE 0.0 END), 6) AS hit_a, round(avg(CASE WHEN b > 0 THEN 1.0 ELSE 0.0 END), 6) AS hit_b, corpora FROM x JOIN listed USING (budget, stratum) GROUP BY budget, stratum, corpora""")
+def error_characteristics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the questions of each loss stratum have in common (each question here has one reference)."""
+    hit = lambda c: F.when(F.col(c) > 0, 1.0).otherwise(0.0)
+    rows = P.loss_strata(runs(spark, sf_dir)).withColumns({"n_refs": F.lit(1), "hit_a": hit("a"), "hit_b": hit("b")})
+    return rounded(P.characteristics(rows))
+
+
+@query(f"""{base([64])} SELECT source AS corpus, count(*) AS n_questions, min(hi - lo + 1)::INT AS gold_min, list_sort(list(hi - lo + 1))[(count(*) // 2 + 1)::INT]::INT AS gold_median, max(hi - lo + 1)::INT AS gold_max, 1::INT AS refs_max FROM qs JOIN documents ON documents.doc_id = qs.qid GROUP BY source""")
+def gold_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gold tokens and references of the questions of each corpus."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    asked = bench.questions(docs).select("qid", (F.col("hi") - F.col("lo") + 1).cast("int").alias("gold"))
+    rows = asked.join(docs.select(F.col("doc_id").alias("qid"), F.col("source").alias("corpus")), "qid")
+    whole = rows.groupBy("corpus").agg(F.count("*").alias("n_questions"), F.min("gold").alias("gold_min"), F.max("gold").alias("gold_max"), F.lit(1).alias("refs_max"))
+    return whole.join(order_statistics(rows, ["corpus"], "gold", {"gold_median": "n div 2"}), "corpus")
+
+
 @query(f"""{RUNS} SELECT budget, round(avg(d), 6) AS total, round(avg(CASE WHEN b = 0 THEN d ELSE 0 END), 6) AS missed, round(avg(CASE WHEN b > 0 AND b < 1 THEN d ELSE 0 END), 6) AS in_part, round(avg(CASE WHEN b >= 1 THEN d ELSE 0 END), 6) AS whole,
 count(*) FILTER (b = 0) AS n_missed, count(*) FILTER (b > 0 AND b < 1) AS n_in_part, count(*) FILTER (b >= 1) AS n_whole FROM de GROUP BY budget""")
 def overlap_decomposition(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -224,3 +224,82 @@ def test_probes_of_many_designs_are_those_of_each():
         assert np.abs(x[k].T @ (1 - p) - G.PROBE_RIDGE * every[k]).max() < 1e-6
     with pytest.raises(ValueError):
         G.conditional_logit(np.zeros((0, 2)))
+
+
+def _biased_pairs(spark, n=60):
+    """Pairs whose order bias depends on the subset, so that taking it off pays."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(n):
+        subset, s = f"u{i % 4}", float(rng.normal(1.2, 1))
+        b = (i % 4 - 1.5) * 3 + float(rng.normal(0, 0.05))
+        rows.append(("m", "r", f"i{i:03d}", s + b, b - s, True, 0.9, f"c{i % 2}", subset, "p", "x" * (5 + i % 7), "y" * (3 + i % 5)))
+    pairs = spark.createDataFrame(rows, "model string, rubric string, item_id string, z_cf double, z_rf double, compliant_both boolean, mass_min double, category string, subset string, prompt string, chosen string, rejected string")
+    return G.length_columns(J.with_parts(pairs))
+
+
+def test_ladder_intervals(spark):
+    pairs = _biased_pairs(spark)
+    scores = G.ladder_scores(pairs).toPandas().set_index("item_id").sort_index()
+    sym = pairs.select("item_id", "sym").toPandas().set_index("item_id").sort_index()["sym"]
+    assert np.allclose(scores["oracle"], sym)  # with the bias known, one order says what both say
+    found = G.ladder_intervals(pairs, 500).toPandas().set_index(["estimator", "contrast"])
+    assert len(found) == 16
+    gain = scores["oracle"].mean() - scores["none"].mean()
+    for name in ("global", "category", "subset", "regression"):
+        assert np.isclose(found.loc[(name, "vs_none"), "recovered"], (scores[name].mean() - scores["none"].mean()) / gain)
+    assert found.loc[("subset", "vs_none"), "recovered"] > found.loc[("global", "vs_none"), "recovered"]
+    none = found[found["recovered"].isna()].index
+    assert len(none) == 12 and ("oracle", "vs_none") in none
+    mean, lo, hi = S.mean_interval((scores["regression"] - scores["oracle"]).to_numpy(), 500)
+    assert np.allclose(found.loc[("regression", "vs_oracle"), ["mean", "lo", "hi"]].astype(float), [mean, lo, hi])
+
+
+def test_recovered_share_needs_a_gain(spark):
+    rows = [("m", "r", f"i{i}", 1.0, -1.0, True, 0.9, "c", "u", "p", "xx", "y") for i in range(6)]
+    pairs = spark.createDataFrame(rows, "model string, rubric string, item_id string, z_cf double, z_rf double, compliant_both boolean, mass_min double, category string, subset string, prompt string, chosen string, rejected string")
+    found = G.ladder_intervals(G.length_columns(J.with_parts(pairs)), 50).toPandas()
+    assert found["recovered"].isna().all()
+
+
+def test_summary_intervals(spark):
+    pairs = _biased_pairs(spark)
+    found = J.summary_intervals(pairs, "category", replicates=300).toPandas().set_index(["category", "metric"])
+    f = pairs.filter("category = 'c1'").orderBy("item_id").toPandas()
+    for metric, values in (("raw_acc", f["raw_mean"]), ("sym_acc", f["sym"]), ("sym_minus_raw", f["sym"] - f["raw_mean"])):
+        assert np.allclose(found.loc[("c1", metric), ["mean", "lo", "hi"]].astype(float), S.mean_interval(values.to_numpy(), 300))
+
+
+def _drawn(n, replicates, seed=1):
+    step = lambda x: (x * 1103515245 + 12345) % 2**31
+    states = [[step((r * n + j + seed) % 2**31) for j in range(n)] for r in range(replicates)]
+    return np.array([[((x >> 8) * 2**23 + (step(x) >> 8)) % n for x in row] for row in states])
+
+
+def test_relational_draws(spark):
+    rng = np.random.default_rng(3)
+    rows = [(g, i, bool(i % 3), float(rng.normal()), float(rng.normal())) for g, n in (("a", 30), ("b", 7)) for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, i long, flag boolean, x double, y double")
+    means = S.lcg_means(df, ["g"], "i", ["x", "y"], 20).toPandas().set_index(["g", "metric"])
+    spread = S.lcg_std_difference(df, ["g"], "i", "x", "y", 20).toPandas().set_index("g")
+    gap = S.lcg_gap(df, ["g"], "flag", "i", "x", 20).toPandas().set_index("g")
+    for g in ("a", "b"):
+        flags, x, y = (np.array([r[k] for r in rows if r[0] == g]) for k in (2, 3, 4))
+        at = _drawn(len(x), 20)
+        for name, v in (("x", x), ("y", y)):
+            assert np.allclose(means.loc[(g, name), ["n", "mean", "lo", "hi"]].astype(float), [len(v), v.mean(), *S.percentile_interval(v[at].mean(1))])
+        assert np.allclose(spread.loc[g, ["mean", "lo", "hi"]].astype(float), [x.std(ddof=1) - y.std(ddof=1), *S.percentile_interval(x[at].std(1, ddof=1) - y[at].std(1, ddof=1))])
+        p, q = x[flags], x[~flags]
+        apart = p[_drawn(len(p), 20)].mean(1) - q[_drawn(len(q), 20)].mean(1)
+        assert np.allclose(gap.loc[g, ["n_true", "n_false", "mean", "lo", "hi"]].astype(float), [len(p), len(q), p.mean() - q.mean(), *S.percentile_interval(apart)])
+
+
+def test_draws_reach_every_row_of_a_large_group():
+    n = 2**25
+    places = [int(v) for v in _drawn_some(n, 4000)]
+    assert max(places) > n * 0.99 and len({p * 16 // n for p in places}) == 16
+
+
+def _drawn_some(n, count, seed=1):
+    step = lambda x: (x * 1103515245 + 12345) % 2**31
+    return [((x >> 8) * 2**23 + (step(x) >> 8)) % n for x in (step(j + seed) for j in range(count))]

@@ -198,3 +198,10 @@ def test_registry(spark):
     rows = registry.grid(docs, bench.questions(docs), [("fixed", 4, 0), ("sentence", 6, 0)], list(registry.RETRIEVERS)).collect()
     assert {(r["chunker"], r["retriever"]) for r in rows} == {(c, r) for c in ("fixed", "sentence") for r in registry.RETRIEVERS}
     assert all(r["rank"] >= 1 for r in rows) and {r["qid"] for r in rows} == {1, 3}
+
+
+def test_characteristics(spark):
+    rows = [(400, "win", g, k, float(h), 1.0, c) for g, k, h, c in [(3, 1, 1, "b"), (9, 2, 0, "a"), (5, 1, 1, "b"), (7, 3, 0, "c")]] + [(400, "miss", 4, 1, 0.0, 1.0, "a")]
+    found = P.characteristics(spark.createDataFrame(rows, "budget int, stratum string, gold int, n_refs int, hit_a double, hit_b double, corpus string")).toPandas().set_index("stratum")
+    assert found.loc["win", ["n", "gold_median", "multi", "hit_a", "hit_b", "corpora"]].to_list() == [4, 7, 0.5, 0.5, 1.0, "b 2, a 1, c 1"]
+    assert found.loc["miss", ["n", "gold_median", "multi", "corpora"]].to_list() == [1, 4, 0.0, "a 1"]
