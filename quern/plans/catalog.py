@@ -115,7 +115,11 @@ def chunks_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.sentence_chunks(bench.documents(spark, sf_dir), 64)
 
 
-@query()
+@query(f"""WITH RECURSIVE {TOKENS}, {SENTENCES}, se AS (SELECT doc_id, sent_idx, n_tokens, tok_lo AS b, tok_lo + n_tokens AS e FROM st),
+nx AS (SELECT s.doc_id, s.sent_idx, s.b, s.e, s.n_tokens > 128 AS wide, count(t.sent_idx) AS j, max(t.e) AS upto FROM se s LEFT JOIN se t ON s.doc_id = t.doc_id AND t.e <= s.b + 128 GROUP BY ALL),
+wk AS (SELECT doc_id, 0::BIGINT AS i FROM nx WHERE sent_idx = 0 UNION ALL SELECT wk.doc_id, CASE WHEN wide THEN i + 1 ELSE greatest(j - 2, i + 1) END FROM wk JOIN nx ON wk.doc_id = nx.doc_id AND wk.i = nx.sent_idx),
+pc AS (SELECT doc_id, sent_idx, CASE WHEN wide THEN b + k * 128 ELSE b END AS lo, CASE WHEN wide THEN least(b + k * 128 + 128, e) ELSE upto END - 1 AS hi FROM (SELECT nx.*, unnest(range(CASE WHEN wide THEN (e - b + 127) // 128 ELSE 1 END::BIGINT)) AS k FROM wk JOIN nx ON wk.doc_id = nx.doc_id AND wk.i = nx.sent_idx))
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY sent_idx, lo) - 1)::INT AS chunk_idx, lo::INT AS tok_lo, hi::INT AS tok_hi, (hi - lo + 1)::INT AS n_tokens FROM pc""")
 def chunks_sentence_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.sentence_chunks(bench.documents(spark, sf_dir), 128, overlap=2)
 

@@ -142,11 +142,14 @@ def correction_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(named.groupBy("estimator", "category").agg(F.count("*").alias("n_items"), F.avg("score").alias("acc")))
 
 
-@query(f"{PAIRS}, f AS (SELECT b, avg(b) OVER (PARTITION BY category) AS m1, avg(b) OVER (PARTITION BY subset) AS m2 FROM pa) SELECT unnest(['category', 'subset']) AS spec, unnest([round(1 - sum((b - m1) * (b - m1)) / (var_pop(b) * count(*)), 6), round(1 - sum((b - m2) * (b - m2)) / (var_pop(b) * count(*)), 6)]) AS r2 FROM f")
+@query(f"""{PAIRS}, ft AS (SELECT b, category, subset, ln((length(chosen) + length(rejected))::DOUBLE) AS l0, abs(ln(length(chosen) / length(rejected)::DOUBLE)) AS l1, ln(length(prompt)::DOUBLE) AS l2 FROM pa),
+f AS (SELECT b, avg(b) OVER (PARTITION BY category) AS m1, avg(b) OVER w AS m2, l0 - avg(l0) OVER w AS x0, l1 - avg(l1) OVER w AS x1, l2 - avg(l2) OVER w AS x2 FROM ft WINDOW w AS (PARTITION BY subset)),
+su AS (SELECT var_pop(b) * count(*) AS total, sum((b - m1) * (b - m1)) AS w1, sum((b - m2) * (b - m2)) AS w2, sum(x0 * x0) + 1e-8 AS a00, sum(x0 * x1) AS a01, sum(x0 * x2) AS a02, sum(x1 * x1) + 1e-8 AS a11, sum(x1 * x2) AS a12, sum(x2 * x2) + 1e-8 AS a22, sum(x0 * (b - m2)) AS c0, sum(x1 * (b - m2)) AS c1, sum(x2 * (b - m2)) AS c2 FROM f)
+SELECT unnest(['category', 'subset', 'subset_plus_length']) AS spec, unnest([round(1 - w1 / total, 6), round(1 - w2 / total, 6), round(1 - (w2 - ({G.EXPLAINED}) / ({G.DETERMINANT})) / total, 6)]) AS r2 FROM su""")
 def bias_r2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = pairs(spark, sf_dir)
+    p = G.length_columns(pairs(spark, sf_dir))
     parts = [G.group_r2(p, "b", c).select(F.lit(c).alias("spec"), F.round("r2", 6).alias("r2")) for c in ("category", "subset")]
-    return parts[0].union(parts[1])
+    return parts[0].union(parts[1]).union(G.group_and_lengths_r2(p, "b", "subset").select(F.lit("subset_plus_length").alias("spec"), F.round("r2", 6).alias("r2")))
 
 
 @query(f"""{PAIRS} SELECT item_id, round(ln((length(chosen) + length(rejected))::DOUBLE), 6) AS log_total_chars, round(ln(length(chosen) / length(rejected)::DOUBLE), 6) AS dlog_chars, round(ln(len(regexp_extract_all(chosen, '[^\\s\\p{{Z}}\\x0b\\x1c-\\x1f\\x85]+')) / len(regexp_extract_all(rejected, '[^\\s\\p{{Z}}\\x0b\\x1c-\\x1f\\x85]+'))::DOUBLE), 6) AS dlog_words, sign(s)::DOUBLE AS sign_s FROM pa""")
@@ -154,7 +157,22 @@ def length_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(G.length_columns(pairs(spark, sf_dir)).select("item_id", "log_total_chars", "dlog_chars", "dlog_words", "sign_s"))
 
 
-@query()
+def _sum(term: str) -> str:
+    """Sum over the rows z of a design: z[1] and z[2] its features, l the chance of losing at the round's coefficients."""
+    return f"list_sum(list_transform(rows, lambda z: {term}))".replace("l_", "(1 / (1 + exp(z[1] * b1 + z[2] * b2)))")
+
+
+@query(f"""WITH RECURSIVE {PAIRS[5:]}, fe AS (SELECT item_id, category, s, sign(s)::DOUBLE AS g, ln(length(chosen) / length(rejected)::DOUBLE) AS d FROM pa),
+sa AS (SELECT *, 'all' AS stratum FROM fe UNION ALL SELECT *, category FROM fe),
+sc AS (SELECT stratum, item_id, s / coalesce(nullif(stddev_samp(s) OVER w, 0), 1) AS s, g / coalesce(nullif(stddev_samp(g) OVER w, 0), 1) AS g, d / coalesce(nullif(stddev_samp(d) OVER w, 0), 1) AS d FROM sa WINDOW w AS (PARTITION BY stratum)),
+de AS (SELECT stratum, item_id, unnest(['length', 'judge', 'joint', 'joint_sign']) AS spec, unnest([[d, 0.0], [s, 0.0], [s, d], [g, d]]) AS z FROM sc),
+sp AS (SELECT stratum, spec, list(z ORDER BY item_id) AS rows FROM de GROUP BY ALL),
+nt AS (SELECT stratum, spec, rows, 0 AS k, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2 FROM sp UNION ALL
+  SELECT stratum, spec, rows, k + 1, b1 + (h22 * g1 - h12 * g2) / (h11 * h22 - h12 * h12), b2 + (h11 * g2 - h12 * g1) / (h11 * h22 - h12 * h12) FROM (SELECT *, {_sum('z[1] * l_')} - 1e-3 * b1 AS g1, {_sum('z[2] * l_')} - 1e-3 * b2 AS g2,
+  {_sum('z[1] * z[1] * l_ * (1 - l_)')} + 1e-3 AS h11, {_sum('z[1] * z[2] * l_ * (1 - l_)')} AS h12, {_sum('z[2] * z[2] * l_ * (1 - l_)')} + 1e-3 AS h22 FROM nt) WHERE k < 40),
+fi AS (SELECT stratum, spec, b1, b2, {_sum('CASE WHEN z[1] * b1 + z[2] * b2 > 0 THEN 1.0 WHEN z[1] * b1 + z[2] * b2 = 0 THEN 0.5 ELSE 0.0 END')} / len(rows) AS acc, {_sum('ln(1 + exp(-z[1] * b1 - z[2] * b2))')} / len(rows) AS loss FROM nt WHERE k = 40),
+co AS (SELECT *, unnest(CASE spec WHEN 'length' THEN ['dlog_chars'] WHEN 'judge' THEN ['s'] WHEN 'joint' THEN ['s', 'dlog_chars'] ELSE ['sign_s', 'dlog_chars'] END) AS feature, unnest(CASE WHEN spec IN ('length', 'judge') THEN [b1] ELSE [b1, b2] END) AS coef FROM fi)
+SELECT stratum, spec, feature, round(coef, 6) AS coef, round(acc, 6) AS acc, round(loss, 6) AS logloss FROM co""")
 def cond_logit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The length probe, overall and by category."""
     rows = G.length_columns(pairs(spark, sf_dir)).withColumn("stratum", F.explode(F.array(F.lit("all"), F.col("category"))))

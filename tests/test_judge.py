@@ -303,3 +303,12 @@ def test_draws_reach_every_row_of_a_large_group():
 def _drawn_some(n, count, seed=1):
     step = lambda x: (x * 1103515245 + 12345) % 2**31
     return [((x >> 8) * 2**23 + (step(x) >> 8)) % n for x in (step(j + seed) for j in range(count))]
+
+
+def test_group_and_lengths_r2_is_that_of_the_design(spark):
+    pairs = _biased_pairs(spark)
+    f = pairs.toPandas()
+    y, x = f["b"].to_numpy(), G.design(f, "subset", G.LENGTHS)
+    fit = x @ np.linalg.solve(x.T @ x + G.RIDGE * np.eye(x.shape[1]), x.T @ y)
+    want = 1 - ((y - fit) ** 2).sum() / ((y - y.mean()) ** 2).sum()
+    assert np.isclose(G.group_and_lengths_r2(pairs, "b", "subset").collect()[0]["r2"], want, atol=1e-7)
