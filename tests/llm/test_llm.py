@@ -845,3 +845,30 @@ def test_digests_of_op1(spark, tmp_path):
     got = {r["doc_id"]: r for r in QUERIES["op1_bpe"](spark, str(tmp_path)).collect()}
     assert got[1]["n_tokens"] == 0 and got[1]["ids_sha256"] == got[1]["decoded_sha256"] == hashlib.sha256(b"").hexdigest()
     assert got[0]["decoded_sha256"] == hashlib.sha256(b"hello</w> world</w>").hexdigest()
+
+
+def test_minimizers_of_cut_texts_are_those_of_whole_ones(monkeypatch):
+    from quern.llm import repeats
+
+    rng = random.Random(8)
+    for _ in range(20):
+        raws = [bytes(rng.choices(b"ab " if rng.random() < 0.4 else b"abcdefghij \xc3\xa9", k=rng.choice([0, 5, 99, 100, 101, 300, 2500]))) for _ in range(rng.randint(0, 10))] + [b"a" * 777]
+        monkeypatch.setattr(repeats, "PIECE", 1 << 30)
+        whole = repeats.segments(raws, 100)
+        monkeypatch.setattr(repeats, "PIECE", rng.choice([1, 100, 150, 333]))
+        cut = repeats.segments(raws, 100)
+        assert all(np.array_equal(a, b) and a.dtype == b.dtype for a, b in zip(whole, cut))
+        assert whole[2].sum() == sum(max(0, len(r) - 99) for r in raws)
+
+
+def test_a_long_text_needs_little_more_memory_than_itself():
+    import tracemalloc
+
+    from quern.llm import repeats
+
+    raw = random.Random(2).randbytes(8 << 20).replace(b"\xff", b" ")
+    tracemalloc.start()
+    text, start, windows, key, gram = repeats.segments([raw], 100)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert windows.sum() == len(raw) - 99 and peak < 6 * len(raw)
