@@ -141,16 +141,20 @@ def bm25_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.filter("rank <= 10").select("qid", "chunk_idx", "rank", F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH {TOKENS}, {SENTENCES}, {QUESTIONS}, {chunk_cte([64])},
-wt AS (SELECT doc_id, (tok_idx // 64)::INT AS chunk_idx, lower(token) AS term, count(*) AS tf FROM tk WHERE regexp_full_match(token, '{_WORD}') GROUP BY ALL),
+def tfidf_sql(size: int) -> str:
+    """Ranking rk by the cosine of TF-IDF vectors of windows of one size."""
+    return f"""WITH {TOKENS}, {SENTENCES}, {QUESTIONS}, {chunk_cte([size])},
+wt AS (SELECT doc_id, (tok_idx // {size})::INT AS chunk_idx, lower(token) AS term, count(*) AS tf FROM tk WHERE regexp_full_match(token, '{_WORD}') GROUP BY ALL),
 nn AS (SELECT doc_id, count(*) AS n FROM ch GROUP BY 1),
 df AS (SELECT doc_id, term, ln((1.0 + any_value(n)) / (1.0 + count(*))) + 1.0 AS idf FROM wt JOIN nn USING (doc_id) GROUP BY ALL),
 ww AS (SELECT *, tf * idf / sqrt(sum((tf * idf) * (tf * idf)) OVER (PARTITION BY doc_id, chunk_idx)) AS w FROM wt JOIN df USING (doc_id, term)),
 qq AS (SELECT qid, doc_id, unnest(regexp_extract_all(lower(query), '{_WORD}')) AS term FROM qs),
 qw AS (SELECT *, q * idf / sqrt(sum((q * idf) * (q * idf)) OVER (PARTITION BY qid)) AS wq FROM (SELECT qid, doc_id, term, count(*) AS q FROM qq GROUP BY ALL) JOIN df USING (doc_id, term)),
 sc AS (SELECT qid, chunk_idx, sum(wq * w) AS score FROM qw JOIN ww USING (doc_id, term) GROUP BY ALL),
-rk AS (SELECT qid, ch.chunk_idx, round(coalesce(score, 0), 9) AS score FROM qs JOIN ch USING (doc_id) LEFT JOIN sc USING (qid, chunk_idx))
-SELECT qid, chunk_idx, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_idx)::INT AS rank FROM rk) WHERE rank <= 10""")
+rk AS (SELECT *, row_number() OVER (PARTITION BY size, qid ORDER BY score DESC, chunk_idx)::INT AS rank FROM (SELECT ch.size, qid, ch.doc_id, ch.chunk_idx, tok_lo, tok_hi, round(coalesce(score, 0), 9) AS score FROM qs JOIN ch USING (doc_id) LEFT JOIN sc USING (qid, chunk_idx)))"""
+
+
+@query(f"{tfidf_sql(64)} SELECT qid, chunk_idx, rank, round(score, 6) AS score FROM rk WHERE rank <= 10")
 def tfidf_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = bench.documents(spark, sf_dir)
     out = R.tfidf(docs, C.fixed_chunks(docs, 64), bench.questions(docs))
