@@ -10,7 +10,8 @@ under those too, so nothing is lost.)
 2. Keys held by two classes or more make the trees' blocks; everything else is dropped unseen.
 3. Every block gets an R-tree, joined with itself: node pairs whose summed minima cannot reach the similarity are left out.
    Of the pairs that survive, only those leave that would tie the block's classes together, so a block of n classes gives
-   n - 1 pairs at most; they are verified on the exact sets.
+   n - 1 pairs at most; they are verified on the exact sets.  A large block is searched for a few classes first, and nodes
+   whose classes are tied by then are not compared: a group of near copies costs a few searches, not its square.
 4. Where classes of a block are still apart and further pairs survived, the block gets their exact sets and verifies pairs
    in turn while their ends are apart.
 5. Connected components of all verified links.
@@ -39,7 +40,11 @@ from quern.plans.shared import discard, free_shuffles, materialise, ship_package
 #: Groups of a point.
 GROUPS = 1024
 #: Classes in one tree at most; a block of more is cut into pairs of parts.
-BLOCK = 1024
+BLOCK = 16384
+#: Classes of a block up to which all its surviving pairs are listed; larger ones are tied on the way.
+LISTED = 64
+#: Classes whose exact sets are put together at most.
+TOGETHER = 1024
 #: Surviving pairs of a tree that are taken before those tied by now are dropped.
 TRIES = 4096
 #: Bits of the filter that says which classes have a partner: a fixed 4 MB at any size of input.
@@ -244,17 +249,8 @@ def tying_links(sets: list[np.ndarray], labels: np.ndarray, num: int, den: int,
     costs about one verification a member.  across: parts of the sets; only pairs of different parts are looked at.
     """
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-    pairs = _apart(CountRTree(points_of(np.concatenate(sets), sizes), sizes).self_join(num, den, labels), across)
     _, root = np.unique(labels, return_inverse=True)
-    found = []
-    while len(pairs):
-        for a, b in pairs[:TRIES].tolist():
-            if root[a] != root[b] and _reaches(sets[a], sets[b], num, den):
-                found.append((a, b))
-                root[root == root[b]] = root[a]
-        pairs = pairs[TRIES:]
-        pairs = pairs[root[pairs[:, 0]] != root[pairs[:, 1]]]
-    return found
+    return CountRTree(points_of(np.concatenate(sets), sizes), sizes).tie(num, den, root, across, lambda a, b: _reaches(sets[a], sets[b], num, den))
 
 
 def _spans(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[dict[str, np.ndarray], int, int]]:
@@ -298,11 +294,16 @@ def _trees_pass(num: int, den: int):
         for f, x, y in _spans(frames, ["gid", "i", "j"]):
             sigs, own = f["sig"][x:y], f["own"][x:y]  # signatures are in order inside a cell
             gid, i, j = f["gid"][x], f["i"][x], f["j"][x]
-            pairs = CountRTree(_points(f["point"][x:y].tolist()), f["n"][x:y]).self_join(num, den)
-            pairs = np.sort(_apart(pairs, own if i != j else None), axis=1)
-            if not len(pairs):
+            tree, across = CountRTree(_points(f["point"][x:y].tolist()), f["n"][x:y]), own if i != j else None
+            if y - x <= LISTED:
+                pairs = np.sort(_apart(tree.self_join(num, den), across), axis=1)
+                ties, root, more = forest(pairs[np.lexsort([pairs[:, 1], pairs[:, 0]])], y - x)
+            else:
+                root = np.arange(y - x)
+                ties = tree.tie(num, den, root, across)
+                more = np.bincount(root, minlength=y - x)[root] > 2  # not all pairs were looked at
+            if not ties:
                 continue
-            ties, root, more = forest(pairs[np.lexsort([pairs[:, 1], pairs[:, 0]])], y - x)
             ends, left = np.array(ties), np.flatnonzero(more)
             n = len(ends) + len(left)
             none = np.zeros(len(ends), np.int64)
@@ -388,7 +389,7 @@ def jaccard_groups(docs: DataFrame, words: int = 4, num: int = 85, den: int = 10
     cell = ["gid", "i", "j", "tie"]
     ties = connected_components(near)
     sizes = ties.groupBy("component").agg(F.count("*").alias("size"))
-    ties = ties.join(sizes, "component").select(F.col("id").alias("sig"), F.when(F.col("size") <= BLOCK, F.col("component")).alias("small"))
+    ties = ties.join(sizes, "component").select(F.col("id").alias("sig"), F.when(F.col("size") <= min(BLOCK, TOGETHER), F.col("component")).alias("small"))
     left = joined.filter("b IS NULL").select(*cell, "own", F.col("a").alias("sig")).join(ties, "sig")
     known = materialise(left.join(parts.select(F.col("id").alias("sig"), "component"), "sig", "left").withColumn("component", F.coalesce("component", "sig")), "jaccard-known")
     whole = lambda name: F.lit(0).alias(name)
