@@ -2,13 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.plans.shared import ship_package
+
+
+def _sure(values: pd.Series) -> pd.Series:
+    found, where = np.unique(np.abs(values.to_numpy(np.float64)), return_inverse=True)
+    return pd.Series(np.array([1 / (1 + math.exp(-v)) for v in found.tolist()], np.float64)[where])
+
+
+def confidence(z: Column) -> Column:
+    """The logistic of |z| by the C library's exponential, as SQL engines take it.
+
+    The JVM's differs in the last bit, which is enough to tie or part confidences of nearly equal z.
+    """
+    return F.when(z.isNotNull(), F.pandas_udf(_sure, "double")(z))
+
 
 def fold(pairs: DataFrame, view: str = "sym") -> DataFrame:
     """pairs -> item_id, conf, correct: one row an item (sym) or one an order (raw)."""
-    sure = lambda c: 1 / (1 + F.exp(-F.abs(c)))
+    ship_package(pairs.sparkSession)
+    sure = lambda c: confidence(F.col(c))
     if view == "sym":
         return pairs.select("item_id", sure("s").alias("conf"), F.col("sym").alias("correct"))
     if view != "raw":
