@@ -754,6 +754,21 @@ def model_of(train, held, shards):
     return found, dict(zip(chunk.names.tolist(), chunk.counts.tolist())), cells
 
 
+def test_first_seating_follows_its_law():
+    from quern.llm.pitman_yor import drawn_tables
+
+    n, w, d = 1500, 3.0, 0.5
+    share = np.zeros(120)  # of 1, 2, ... tables
+    share[0] = 1
+    for c in range(1, n):
+        opens = w / (w + c - d * np.minimum(np.arange(1, 121), c))
+        share = share * (1 - opens) + np.concatenate([[0], (share * opens)[:-1]])
+    mean, second = share @ np.arange(1, 121), share @ np.arange(1, 121) ** 2
+    got = drawn_tables(np.full(40_000, n), np.full(40_000, w), d, np.random.default_rng(3))
+    assert abs(got.mean() - mean) < 5 * np.sqrt((second - mean**2) / len(got))
+    assert drawn_tables(np.array([1, 5, 3]), np.array([1.0, 0.0, 1e9]), d, np.random.default_rng(1)).tolist() == [1, 1, 3]
+
+
 @pytest.mark.parametrize("shards", [1, 3, 11])
 def test_language_model_sums_to_one_in_every_context(shards):
     r = random.Random(2)
