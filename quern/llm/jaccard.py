@@ -2,12 +2,15 @@
 
 Shingles are hashed into groups; a text's group counts are a point, and the sum of coordinate minima bounds the overlap
 of two texts.  One tree over all texts would sit in one task, so the points are dealt to many small trees by an exact
-rule: texts of sizes that may link are cut into more groups than they may differ in (plus ``slack``), so linked texts agree
-wholly on some group that is not empty, and meet under its key.  (A text with as many empty groups as the slack is filed
-under those too, so nothing is lost.)
+rule: texts of sizes that may link are cut into more groups than they may differ in (by a fifth), so linked texts agree
+wholly on as many groups as there are more, less those that are empty, and meet under their keys.  (A text with as many
+empty groups as that is filed under those too, so nothing is lost.)
 
 1. Texts with equal shingle sets collapse into one class.
-2. Keys held by two classes or more make the trees' blocks; everything else is dropped unseen.
+2. Keys held by two classes or more make blocks; everything else is dropped unseen.  A class that must meet its partners under
+   r keys leaves its r - 1 commonest ones, in an order that is one for all: of r common keys the rarest stays with both
+   partners.  So a line that many unlike texts share makes no large block, and a class that meets others under fewer keys
+   than r is left out.  What stays is the trees' blocks.
 3. Every block gets an R-tree, joined with itself: node pairs whose summed minima cannot reach the similarity are left out.
    Of the pairs that survive, only those leave that would tie the block's classes together, so a block of n classes gives
    n - 1 pairs at most; they are verified on the exact sets.  A large block is searched for a few classes first, and nodes
@@ -28,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.components import connected_components
@@ -65,7 +68,7 @@ def band_groups(bands: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.n
     """For each band: the most that two sets meeting there may differ in, and the number of groups to cut them into."""
     most = np.concatenate([bands[1:] - 1, [bands[-1] * den // num]])
     differ = 2 * most * (den - num) // (den + num)
-    return differ, differ + 3 + differ // 50
+    return differ, differ + 3 + differ // 5
 
 
 def signatures(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -78,18 +81,22 @@ def signatures(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def group_keys(hashes: np.ndarray, sizes: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of all sets under which linked sets meet."""
+def group_keys(hashes: np.ndarray, sizes: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, key, need) of all sets: linked sets meet under ``need`` keys at least that are alike in their lowest bit.
+
+    That bit tells the two bands apart in which a set is filed.
+    """
+    none = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     some = np.flatnonzero(sizes)
     if not len(some):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return none
     n = sizes[some]
     bands = size_bands(num, den, int(n.max()) * den // num + 1)
     differ, groups = band_groups(bands, num, den)
     member = np.repeat(np.arange(len(some)), n)
     once = mix(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5))
     low, high = (once & np.uint64(0x3FFFFFF)).astype(np.float64), ((once >> np.uint64(26)) & np.uint64(0x3FFFFFF)).astype(np.float64)
-    rows, keys = [], []
+    rows, keys, needs = [], [], []
     for up in (0, 1):
         tag = np.searchsorted(bands, n, side="right") - 1 + up
         m = np.where(differ[tag] > 0, groups[tag], 0)  # sets that may not differ are one class already
@@ -104,11 +111,14 @@ def group_keys(hashes: np.ndarray, sizes: np.ndarray, num: int, den: int) -> tup
         owner = np.repeat(np.arange(len(some)), m)
         group = (np.arange(total) - base[owner]).astype(np.uint64)
         empty = np.bincount(owner, held == 0, len(some))
-        filed = (held > 0) | (empty >= m - differ[tag])[owner]
+        agreed = m - differ[tag]
+        filed = (held > 0) | (empty >= agreed)[owner]
         key = mix(mix(sums[0] + (sums[1] << np.uint64(26)) + np.uint64(1)) ^ (group * np.uint64(0x9E3779B97F4A7C15) + tag[owner].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + (held.astype(np.uint64) << np.uint64(3))))
+        key = (key & ~np.uint64(1)) | (tag & 1).astype(np.uint64)[owner]
         rows.append(some[owner[filed]])
         keys.append(key[filed])
-    return (np.concatenate(rows), np.concatenate(keys)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        needs.append(np.maximum(agreed - empty, 1).astype(np.int64)[owner[filed]])
+    return (np.concatenate(rows), np.concatenate(keys), np.concatenate(needs)) if rows else none
 
 
 def _raws(part: pa.RecordBatch) -> list[bytes]:
@@ -159,36 +169,51 @@ def _keys_pass(words: int, num: int, den: int):
                         seen.add(s)
                 if len(seen) > SEEN:
                     seen.clear()
-                rows, keys = group_keys(hashes[np.repeat(fresh, sizes)], np.where(fresh, sizes, 0), num, den)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(sigs[rows].astype(np.int64))], names=["key", "sig"])
+                rows, keys, needs = group_keys(hashes[np.repeat(fresh, sizes)], np.where(fresh, sizes, 0), num, den)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(sigs[rows].astype(np.int64)), pa.array(needs)], names=["key", "sig", "need"])
 
     return run
 
 
 def _blocks_pass(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by (key, sig) -> (gid, sig) of blocks of two classes or more; equal blocks have one gid."""
+    """Rows sorted by (key, sig) -> blocks of two classes or more; equal blocks of one band have one gid, and a number of keys."""
 
-    def close(key: np.ndarray, sig: np.ndarray) -> pd.DataFrame:
+    def close(key: np.ndarray, sig: np.ndarray, need: np.ndarray) -> pd.DataFrame:
         fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (sig[1:] != sig[:-1])])
-        key, sig = key[fresh], sig[fresh]
+        key, sig, need = key[fresh], sig[fresh], need[fresh]
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         sizes = np.diff(np.append(starts, len(key)))
-        gid = mix(np.add.reduceat(mix(sig.astype(np.uint64)), starts) + sizes.astype(np.uint64)).astype(np.int64)
+        gid = mix(np.add.reduceat(mix(sig.astype(np.uint64)), starts) + sizes.astype(np.uint64) * np.uint64(2) + (key[starts] & 1).astype(np.uint64)).astype(np.int64)
         many = np.flatnonzero(sizes > 1)
-        many = many[np.unique(gid[many], return_index=True)[1]]
+        _, at, keys = np.unique(gid[many], return_index=True, return_counts=True)
+        many = many[at]
         rows = np.repeat(starts[many] - (np.cumsum(sizes[many]) - sizes[many]), sizes[many]) + np.arange(int(sizes[many].sum()))
-        return pd.DataFrame({"gid": np.repeat(gid[many], sizes[many]), "sig": sig[rows]})
+        each = lambda x: np.repeat(x, sizes[many])
+        return pd.DataFrame({"gid": each(gid[many]), "sig": sig[rows], "band": key[rows] & 1, "need": need[rows], "size": each(sizes[many]), "keys": each(keys)})
 
-    key, sig = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    held = [np.zeros(0, np.int64)] * 3
     for f in frames:
-        key, sig = np.concatenate([key, f["key"].to_numpy()]), np.concatenate([sig, f["sig"].to_numpy()])
+        held = [np.concatenate([x, f[c].to_numpy()]) for x, c in zip(held, ("key", "sig", "need"))]
+        key = held[0]
         if len(key) > 200_000:
             cut = int(np.searchsorted(key, key[-1]))  # the last key may go on
             if cut:
-                yield close(key[:cut], sig[:cut])
-                key, sig = key[cut:], sig[cut:]
-    if len(key):
-        yield close(key, sig)
+                yield close(*(x[:cut] for x in held))
+                held = [x[cut:] for x in held]
+    if len(held[0]):
+        yield close(*held)
+
+
+def rarest(met: DataFrame) -> DataFrame:
+    """Blocks -> (gid, sig) without each class's need - 1 commonest keys of a band; equal blocks have one gid."""
+    met = met.groupBy("gid", "sig", "band").agg(F.first("need").alias("need"), F.first("size").alias("size"), F.sum("keys").alias("keys"))
+    common = Window.partitionBy("sig", "band").orderBy(F.desc("size"), "gid").rowsBetween(Window.unboundedPreceding, 0)
+    kept = materialise(met.withColumn("upto", F.sum("keys").over(common)).filter("upto >= need").select("gid", "sig"), "jaccard-rarest")
+    listed = F.struct(F.count("*").alias("n"), *(F.sum(F.xxhash64("sig", F.lit(salt)).cast("decimal(38,0)")).alias(f"h{salt}") for salt in (1, 2)))
+    once = kept.groupBy("gid").agg(listed.alias("listed")).filter("listed.n > 1").groupBy("listed").agg(F.min("gid").alias("gid"))
+    blocks = materialise(kept.join(once, "gid").select("gid", "sig"), "jaccard-blocks")
+    discard(kept)
+    return blocks
 
 
 def _sets_pass(words: int, filter_):
@@ -355,9 +380,9 @@ def jaccard_groups(docs: DataFrame, words: int = 4, num: int = 85, den: int = 10
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), mark.alias("mark"), F.col(text_col).alias("text"))
     sized = materialise(texts.mapInArrow(_sizes_pass(words), "doc_id long, mark long, n long, sig long, point binary"), "jaccard-sizes")
 
-    keyed = texts.select("text").mapInArrow(_keys_pass(words, num, den), "key long, sig long")
-    met = keyed.repartition(n_parts, "key").sortWithinPartitions("key", "sig").mapInPandas(_blocks_pass, "gid long, sig long")
-    blocks = materialise(met.distinct(), "jaccard-blocks")
+    keyed = texts.select("text").mapInArrow(_keys_pass(words, num, den), "key long, sig long, need long")
+    shape = "gid long, sig long, band long, need long, size long, keys long"
+    blocks = rarest(keyed.repartition(n_parts, "key").sortWithinPartitions("key", "sig").mapInPandas(_blocks_pass, shape))
     points = materialise(sized.filter("n > 0").groupBy("sig").agg(F.first("n").alias("n"), F.first("point").alias("point")), "jaccard-points")
     free_shuffles(spark)
 

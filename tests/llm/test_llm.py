@@ -358,6 +358,21 @@ def test_forest_ties_every_pair_and_names_what_is_left():
             assert bool(more[root == k].all()) == bool(more[root == k].any()) == (len(inside) > sum(root[a] == k for a, _ in ties))
 
 
+def test_jaccard_makes_no_large_blocks_of_a_common_line(spark, monkeypatch):
+    from quern.llm import jaccard
+
+    held, write = {}, jaccard.materialise
+    monkeypatch.setattr(jaccard, "materialise", lambda df, name, *a: held.setdefault(name, []).append(out := write(df, name, *a)) or out)
+    monkeypatch.setattr(jaccard, "discard", lambda *a: None)
+    r = random.Random(9)
+    line = " ".join(f"line{k}" for k in range(12))
+    rows = [(i + 1, " ".join([*(f"w{r.randrange(10**6)}" for _ in range(r.randint(110, 130))), line]), "en", "s") for i in range(400)]
+    rows.append((900, rows[7][1].replace("line11", "other"), "en", "s"))
+    got = {x["doc_id"]: x["component_id"] for x in jaccard.jaccard_components(docs(spark, rows), 5, 80, 100).collect()}
+    assert got == {i: 8 if i == 900 else i for i, *_ in rows}
+    assert held["jaccard-blocks"][0].count() < 50
+
+
 def test_jaccard_groups_take_every_row_as_a_node(spark):
     from quern.llm.jaccard import jaccard_groups
 
